@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+Every statement of the source pipeline is a batch query over tables (setup,
+views, questions, star model refresh); it has no stream, watermark, window
+over event time or stateful operator, so none is built here.  A periodic
+refresh is a batch job over the staged tables (``sources.stage_tables``).
+"""
