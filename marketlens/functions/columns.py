@@ -67,10 +67,25 @@ def avg_days(total, count, int_avg: bool = True) -> Column:
 
 
 def round6(x) -> Column:
-    """Averages of doubles depend on summation order; compare at 6 places."""
+    """Round a double to 6 places (presentation of fractional averages)."""
     return F.round(_c(x), 6)
 
 
+AVG_SCALE = 9
+
+
+def fixed(x) -> Column:
+    """A per-group average fixed at 9 decimals, so that averaging it again
+    sums exact decimals (order-independent) instead of doubles."""
+    return _c(x).cast(f"decimal(38,{AVG_SCALE})")
+
+
+def avg_of_avgs(x) -> tuple[Column, Column]:
+    """(sum, count) aggregates for an average of per-group averages; finish
+    with ``ratio(sum, count)``."""
+    return F.sum(fixed(x)), F.count(_c(x))
+
+
 def bucketize(days, buckets=DAY_BUCKETS, default: str = OTHER_BUCKET,
               invalid: str | None = None) -> Column:
     """First inclusive [low, high] range that holds ``days``; else default.

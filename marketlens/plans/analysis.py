@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import (at_least_one, avg_days, bucketize,
-                                          day_diff, grade, int_div, pct, ratio,
-                                          round6)
+                                          day_diff, fixed, grade, int_div, pct, ratio)
 from marketlens.functions.labels import INVALID_BUCKET
 from marketlens.operators.ranking import dense_rank_all, top_n, top_n_ranked
 from marketlens.operators.shares import (conditional_share, period_growth,
@@ -212,8 +211,9 @@ def fastest_sellers_dense_rank(t: T, int_avg: bool = True) -> DataFrame:
 def delivery_days_by_state(t: T, int_avg: bool = True) -> DataFrame:
     """Q16: average over zones of the zone view's average days, per state."""
     z = zone_profile(t, int_avg=int_avg)
-    g = z.groupBy("state").agg(F.sum("days_avg").alias("s"), F.count("days_avg").alias("c"))
-    avg = int_div("s", "c") if int_avg else round6(ratio("s", "c"))
+    s = F.col("days_avg") if int_avg else fixed("days_avg")
+    g = z.groupBy("state").agg(F.sum(s).alias("s"), F.count("days_avg").alias("c"))
+    avg = int_div("s", "c") if int_avg else ratio("s", "c")
     return g.select("state", avg.alias("avg_days")).orderBy(ASC("avg_days"), ASC("state"))
 
 

@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import (at_least_one, avg_days, day_diff, ratio,
-                                          round6)
+from marketlens.functions.columns import (at_least_one, avg_days, day_diff, fixed,
+                                          ratio)
 from marketlens.operators.ranking import top_n, top_n_per_group
 from marketlens.plans.grain import (items_enriched, items_per_order,
                                     orders_with_customer, payments_per_order,
@@ -153,13 +153,13 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
         F.countDistinct("customer_state").alias("state_count"),
         F.sum("pay_sum").alias("total_sales"),
         F.sum("score_cnt").cast("bigint").alias("review_total"),
-        F.avg("avg_score").alias("avg_review"))
+        F.sum(fixed("avg_score")).alias("_rs"), F.count("avg_score").alias("_rn"))
     return g.select(
         *keys, "order_count", "unit_count", "customer_count", "city_count", "state_count",
         _money("total_sales").alias("total_sales"),
         ratio("total_sales", "order_count").alias("avg_ticket"),
         ratio("customer_count", "city_count").alias("customers_per_city"),
-        "review_total", round6("avg_review").alias("avg_review"))
+        "review_total", ratio("_rs", "_rn").alias("avg_review"))
 
 
 # --------------------------------------------------------------------- W4
@@ -301,11 +301,11 @@ def zone_profile(t: T, int_avg: bool = True) -> DataFrame:
         F.count("order_paid").alias("_paid_n"),
         F.countDistinct("order_id").alias("order_count"),
         F.sum("order_items").cast("bigint").alias("items_sold"),
-        F.avg("order_review").alias("avg_review"),
+        F.sum(fixed("order_review")).alias("_rs"), F.count("order_review").alias("_rn"),
         F.min("days").alias("days_min"), F.max("days").alias("days_max"),
         F.sum("days").cast("bigint").alias("_days_sum"), F.count("days").alias("_days_n"),
         F.min("freight_min").alias("freight_min"), F.max("freight_max").alias("freight_max"),
-        F.avg("freight_avg").alias("freight_avg"))
+        F.sum(fixed("freight_avg")).alias("_fs"), F.count("freight_avg").alias("_fn"))
     j = unique_zips(t).join(per_zip, "zip", "left")
     zero = F.lit(0).cast("bigint")
     return j.select(
@@ -315,10 +315,10 @@ def zone_profile(t: T, int_avg: bool = True) -> DataFrame:
         _money("total_paid").alias("total_paid"),
         ratio("total_paid", "_paid_n").alias("avg_paid"),
         F.coalesce("order_count", zero).alias("order_count"),
-        "items_sold", round6("avg_review").alias("avg_review"),
+        "items_sold", ratio("_rs", "_rn").alias("avg_review"),
         "days_min", "days_max",
         avg_days("_days_sum", "_days_n", int_avg).alias("days_avg"),
-        "freight_min", "freight_max", round6("freight_avg").alias("freight_avg"))
+        "freight_min", "freight_max", ratio("_fs", "_fn").alias("freight_avg"))
 
 
 def zone_profile_clean(t: T) -> DataFrame:
@@ -338,7 +338,8 @@ def zone_profile_clean(t: T) -> DataFrame:
         F.sum("pay_sum").alias("total_paid"), F.count("pay_sum").alias("_paid_n"),
         F.count(F.lit(1)).alias("order_count"),
         F.sum("ni").cast("bigint").alias("items_sold"),
-        F.avg(ratio("score_sum", "score_cnt")).alias("avg_review"),
+        F.sum(fixed(ratio("score_sum", "score_cnt"))).alias("_rs"),
+        F.count(ratio("score_sum", "score_cnt")).alias("_rn"),
         F.min("days").alias("days_min"), F.max("days").alias("days_max"),
         F.sum("days").cast("bigint").alias("_days_sum"), F.count("days").alias("_days_n"),
         F.min("fmin").alias("freight_min"), F.max("fmax").alias("freight_max"),
@@ -359,7 +360,7 @@ def zone_profile_clean(t: T) -> DataFrame:
         _money("total_paid").alias("total_paid"),
         ratio("total_paid", "_paid_n").alias("avg_paid"),
         F.coalesce("order_count", zero).alias("order_count"),
-        "items_sold", round6("avg_review").alias("avg_review"),
+        "items_sold", ratio("_rs", "_rn").alias("avg_review"),
         "days_min", "days_max", ratio("_days_sum", "_days_n").alias("days_avg"),
         "freight_min", "freight_max", ratio("_fsum", "_fcnt").alias("freight_avg"))
 
