@@ -122,4 +122,4 @@ def status_label(status) -> Column:
 def normalize_text(text) -> Column:
     """Trim, collapse inner whitespace, lower-case and fold accents."""
     t = F.regexp_replace(F.trim(_c(text)), r"\s+", " ")
-    return F.translate(F.lower(t), ACCENTED.lower(), UNACCENTED.lower())
+    return F.translate(F.lower(t), ACCENTED, UNACCENTED)

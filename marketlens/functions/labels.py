@@ -35,6 +35,7 @@ STATUS_LABELS = {
 # Review scores at or below this are "negative" (measure K17).
 NEGATIVE_SCORE = 2
 
-# Accented letters folded by normalize_text, and their plain forms.
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-UNACCENTED = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+# Accented lower-case letters folded by normalize_text (applied after
+# lower-casing), and their plain forms, position by position.
+ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
+UNACCENTED = "aaaaaeeeeiiiiooooouuuucn"

@@ -5,4 +5,5 @@ adapter text as the Spark side; everything above them is written from the
 source definitions in plain join form.
 """
 
+from marketlens.oracle import model_kpi  # noqa: F401  (registers M and K)
 from marketlens.oracle.queries import Q as ORACLE_SQL  # noqa: F401

@@ -1,3 +1,202 @@
-"""Star model (M1-M13) — filled in below."""
+"""Star model of the BI layer (M1-M13), documented in prose only by the
+source; the rules it leaves open are fixed here and stated per function.
 
-QUERIES: dict = {}
+Grain: ``fact_order_items`` one row per item; ``order_hub`` one row per
+order; dimensions one row per key; ``calendar`` one row per day between the
+first and the last purchase date.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marketlens.functions.columns import (at_least_one, normalize_text, ratio,
+                                          status_label)
+
+T = dict[str, DataFrame]
+
+
+def fact_order_items(t: T) -> DataFrame:
+    """M1: item-grain fact with the order's customer."""
+    oi = t["order_item"]
+    o = t["orders"].select("order_id", "customer_id")
+    return oi.join(o, "order_id", "inner").select(
+        "order_item_id", "order_id", "customer_id", "product_id", "seller_id", "price",
+        "freight_value", "shipping_limit_date")
+
+
+def review_metrics(t: T) -> DataFrame:
+    """M8: per order average, count (review rows), min and max score; an
+    order whose scores are all null keeps null metrics."""
+    r = t["order_reviews"].groupBy("order_id").agg(
+        F.sum("review_score").alias("_s"), F.count("review_score").alias("_n"),
+        F.count(F.lit(1)).alias("review_count"),
+        F.min("review_score").alias("min_review_score"),
+        F.max("review_score").alias("max_review_score"))
+    return r.select("order_id", ratio("_s", "_n").alias("avg_review_score"),
+                    "review_count", "max_review_score", "min_review_score")
+
+
+def order_hub(t: T) -> DataFrame:
+    """M2: one row per order with dates, status, review metrics, and item
+    attributes reduced to order grain (smallest seller id, latest shipping
+    limit) — the documented hub has them at order grain without a rule."""
+    o = t["orders"]
+    it = t["order_item"].groupBy("order_id").agg(
+        F.min("seller_id").alias("seller_id"),
+        F.max("shipping_limit_date").alias("ship_limit_at"))
+    j = o.join(it, "order_id", "left").join(review_metrics(t), "order_id", "left")
+    return j.select(
+        "order_id", "customer_id", "seller_id", "order_status",
+        F.col("order_purchase_timestamp").alias("purchased_at"),
+        F.col("order_approved_at").alias("approved_at"),
+        F.col("order_delivered_customer_date").alias("delivered_at"),
+        F.col("order_estimated_delivery_date").alias("estimated_delivery_at"),
+        F.col("order_delivered_carrier_date").alias("handed_to_carrier_at"),
+        "ship_limit_at", "avg_review_score", F.coalesce("review_count", F.lit(0))
+        .alias("review_count"), "max_review_score", "min_review_score")
+
+
+def dim_customer(t: T) -> DataFrame:
+    """M3: customer with one point per zip (average of its points)."""
+    g = t["geolocation"].groupBy(F.col("geolocation_zip_code_prefix")
+                                 .alias("customer_zip_code_prefix")).agg(
+        F.avg("geolocation_lat").alias("geolocation_lat"),
+        F.avg("geolocation_lng").alias("geolocation_lng"))
+    c = t["customer"]
+    return c.join(g, "customer_zip_code_prefix", "left").select(
+        "customer_id", "customer_unique_id", "customer_city", "customer_state",
+        "customer_zip_code_prefix", "geolocation_lat", "geolocation_lng")
+
+
+def dim_seller(t: T) -> DataFrame:
+    """M4: seller dimension."""
+    return t["sellers"].select("seller_id", "seller_city", "seller_state",
+                               F.col("seller_zip_code_prefix").alias("seller_zip_code"))
+
+
+def dim_product(t: T) -> DataFrame:
+    """M5: product with its translated category (null when untranslated)."""
+    tr = t["translation"]
+    return t["products"].join(tr, "product_category_name", "left").select(
+        "product_id", F.col("product_category_name_english").alias("product_category"))
+
+
+def order_payments_model(t: T) -> DataFrame:
+    """M6: payments by order."""
+    return t["order_payments"].select("order_id", "payment_sequential", "payment_type",
+                                      "payment_value")
+
+
+def calendar(t: T, date_col: str = "order_purchase_timestamp") -> DataFrame:
+    """M7: one row per day from the first to the last purchase date.
+
+    The day list comes from a one-row (min, max) aggregate: its size is the
+    calendar span, independent of the number of orders.  Weeks start on
+    Monday; ``week_of_month`` = ceil((day + weekday of the 1st) / 7).
+    """
+    d = F.to_date(F.col(date_col))
+    bounds = t["orders"].agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
+    days = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day")))
+                         .alias("date"))
+    wd = F.weekday("date")  # 0 = Monday
+    month_start = F.trunc("date", "month")
+    return days.select(
+        "date",
+        (F.year("date") * 10000 + F.month("date") * 100 + F.dayofmonth("date"))
+        .alias("date_key"),
+        F.year("date").alias("year"), F.month("date").alias("month"),
+        F.date_format("date", "MMM").alias("month_short"),
+        F.date_format("date", "yyyy-MM").alias("year_month"),
+        F.date_format("date", "MMM yyyy").alias("year_month_short"),
+        F.quarter("date").alias("quarter"),
+        F.concat(F.year("date").cast("string"), F.lit("-Q"),
+                 F.quarter("date").cast("string")).alias("year_quarter"),
+        F.weekofyear("date").alias("week_of_year"),
+        F.ceil((F.dayofmonth("date") + F.weekday(month_start)) / 7).cast("int")
+        .alias("week_of_month"),
+        F.date_add("date", (F.lit(6) - wd).cast("int")).alias("week_end"),
+        month_start.alias("month_start"), F.last_day("date").alias("month_end"),
+        F.dayofmonth("date").alias("day"),
+        F.date_format("date", "EEE").alias("day_short"),
+        F.dayofyear("date").alias("day_of_year"),
+        (wd + 1).alias("day_of_week"))
+
+
+ROLE_COLUMNS = {"purchase": "order_purchase_timestamp",
+                "delivered": "order_delivered_customer_date",
+                "approved": "order_approved_at"}
+
+
+def with_calendar(t: T, df: DataFrame, role: str = "purchase") -> DataFrame:
+    """Attach calendar attributes through the active (purchase) or an
+    inactive (delivered, approved) date relation; ``df`` must carry the
+    three order date columns.  The calendar has one row per day, so the
+    join is one-to-one per row and the calendar side is bounded by its span.
+    """
+    cal = calendar(t)
+    return df.join(cal, F.to_date(df[ROLE_COLUMNS[role]]) == cal["date"], "inner")
+
+
+def status_labels(t: T) -> DataFrame:
+    """M9: order status codes with their display label and order count."""
+    g = t["orders"].groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
+    return g.select("order_status", status_label("order_status").alias("status_label"),
+                    "orders")
+
+
+def normalized_zones(t: T) -> DataFrame:
+    """M10 applied to the zip zones: distinct (zip, city, state) after text
+    normalisation, so spelling variants of one place collapse."""
+    g = t["geolocation"]
+    return g.select(F.col("geolocation_zip_code_prefix").alias("zip"),
+                    normalize_text("geolocation_city").alias("city"),
+                    normalize_text("geolocation_state").alias("state")).distinct()
+
+
+def null_report(t: T) -> DataFrame:
+    """Nulls of seller, category and review score over the order-detail
+    view, counted factorised (per-order counts times the fan-out)."""
+    s = t["sellers"].select(F.col("seller_id").alias("_sid"))
+    p = t["products"].select(F.col("product_id").alias("_pid"), "product_category_name")
+    tr = t["translation"].select(F.col("product_category_name").alias("_tn"),
+                                 F.col("product_category_name_english").alias("_cat"))
+    oi = t["order_item"]
+    items = (oi.join(p, oi["product_id"] == p["_pid"], "left")
+             .join(tr, F.col("product_category_name") == tr["_tn"], "left")
+             .join(s, oi["seller_id"] == s["_sid"], "left")
+             .groupBy(oi["order_id"]).agg(
+                 F.count(F.lit(1)).alias("ni"),
+                 F.sum(F.col("_sid").isNull().cast("int")).alias("ni_no_seller"),
+                 F.sum(F.col("_cat").isNull().cast("int")).alias("ni_no_cat")))
+    pays = t["order_payments"].groupBy("order_id").agg(F.count(F.lit(1)).alias("np"))
+    revs = t["order_reviews"].groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("nr"), F.count("review_score").alias("nrv"))
+    j = (t["orders"].select("order_id").join(items, "order_id", "left")
+         .join(pays, "order_id", "left").join(revs, "order_id", "left"))
+    mi, mp, mr = at_least_one("ni"), at_least_one("np"), at_least_one("nr")
+    no_items = F.coalesce(F.col("ni"), F.lit(0)) == 0
+    no_revs = F.coalesce(F.col("nr"), F.lit(0)) == 0
+    seller_nulls = F.when(no_items, 1).otherwise(F.col("ni_no_seller")) * mp * mr
+    cat_nulls = F.when(no_items, 1).otherwise(F.col("ni_no_cat")) * mp * mr
+    score_nulls = F.when(no_revs, 1).otherwise(F.col("nr") - F.col("nrv")) * mi * mp
+    return j.agg(F.sum(mi * mp * mr).cast("bigint").alias("rows"),
+                 F.sum(seller_nulls).cast("bigint").alias("seller_id_nulls"),
+                 F.sum(cat_nulls).cast("bigint").alias("category_nulls"),
+                 F.sum(score_nulls).cast("bigint").alias("review_score_nulls"))
+
+
+QUERIES = {
+    "fact_order_items": fact_order_items,
+    "order_hub": order_hub,
+    "dim_customer": dim_customer,
+    "dim_seller": dim_seller,
+    "dim_product": dim_product,
+    "order_payments_model": order_payments_model,
+    "calendar": calendar,
+    "review_metrics": review_metrics,
+    "status_labels": status_labels,
+    "normalized_zones": normalized_zones,
+    "null_report": null_report,
+}
