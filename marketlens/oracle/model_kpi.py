@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketlens.functions.labels import ACCENTED, NEGATIVE_SCORE, STATUS_LABELS, UNACCENTED
-from marketlens.oracle.ctes import avg_of_avgs, dd, ratio, with_ctes
+from marketlens.oracle.ctes import SPECS, avg_of_avgs, dd, ratio, register
 from marketlens.oracle.queries import Q
 
 EXTRA = {
@@ -54,7 +54,12 @@ WHERE days IS NOT NULL GROUP BY 1""", ["k_orders", "k_customer"]),
 
 
 def _q(key: str, body: str, needs: list[str]) -> None:
-    Q[key] = with_ctes(body, needs, EXTRA)
+    register(Q, key, body, needs, EXTRA)
+
+
+def _alias(key: str, base: str) -> None:
+    Q[key] = Q[base]
+    SPECS[key] = SPECS[base]
 
 
 def _norm(col: str) -> str:
@@ -145,7 +150,9 @@ _q("sales_by_city", """
 SELECT c.customer_city AS city, CAST(sum(f.price) AS DECIMAL(38,2)) AS sales
 FROM m_fact f JOIN k_customer c ON f.customer_id = c.customer_id GROUP BY 1
 ORDER BY sales DESC NULLS LAST, city ASC NULLS FIRST LIMIT 5""", ["m_fact", "k_customer"])
-Q["units_by_category"] = Q["top_categories_by_units"].replace("LIMIT 10", "LIMIT 5")
+_q("units_by_category", """
+SELECT category, CAST(sum(unit_count) AS BIGINT) AS units FROM v_w4 GROUP BY category
+ORDER BY units DESC NULLS LAST, category ASC NULLS FIRST LIMIT 5""", ["v_w4"])
 _q("sales_by_product", """
 SELECT product_id, CAST(sum(price) AS DECIMAL(38,2)) AS sales FROM m_fact GROUP BY 1
 ORDER BY sales DESC NULLS LAST, product_id ASC NULLS FIRST LIMIT 10""", ["m_fact"])
@@ -178,10 +185,10 @@ SELECT k.segment, d.days, CAST(s.sales AS DECIMAL(38,2)) AS sales,
   CAST(coalesce(n.new_customers, 0) AS BIGINT) AS new_customers
 FROM k LEFT JOIN s ON k.segment = s.segment LEFT JOIN d ON k.segment = d.segment
 LEFT JOIN n ON k.segment = n.segment""", ["m_sales", "k_orders", "m_first"])
-Q["seller_ranking"] = Q["seller_order_rank_view"]
-Q["seller_concentration"] = Q["top10_seller_concentration"]
-Q["avg_ticket_by_payment"] = Q["avg_payment_by_type"]
-Q["single_vs_multi"] = Q["multi_payment_share"]
+_alias("seller_ranking", "seller_order_rank_view")
+_alias("seller_concentration", "top10_seller_concentration")
+_alias("avg_ticket_by_payment", "avg_payment_by_type")
+_alias("single_vs_multi", "multi_payment_share")
 _q("delivery_days_overall", f"""
 SELECT (SELECT {ratio('sum(days)', 'count(days)')} FROM (
           SELECT {dd('order_purchase_timestamp', 'order_delivered_customer_date')} AS days

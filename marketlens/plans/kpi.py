@@ -70,11 +70,9 @@ def state_customer_share(t: T) -> DataFrame:
     """K2: unique customers per state and their share of the per-state sum."""
     g = t["customer"].groupBy(F.col("customer_state").alias("state")).agg(
         F.countDistinct("customer_unique_id").alias("customers"))
-    # the total is a one-row aggregate over the per-state rows, attached to
-    # every state on a constant key (a broadcast of exactly one row)
-    total = g.agg(F.sum("customers").alias("_total"))
-    j = g.withColumn("_k", F.lit(0)).join(F.broadcast(total.withColumn("_k", F.lit(0))), "_k")
-    return j.select("state", "customers", pct("customers", "_total").alias("pct"))
+    # the total is a scalar subquery over the per-state rows (run once)
+    total = g.agg(F.sum("customers")).scalar()
+    return g.select("state", "customers", pct("customers", total).alias("pct"))
 
 
 def new_customers_yoy(t: T) -> DataFrame:

@@ -50,20 +50,18 @@ def orphan_orders(t: T) -> DataFrame:
     """V6: orders whose customer_id is NOT IN the customer ids (expected empty).
 
     NOT IN is null-aware: one null customer id empties the result, and a
-    null order customer only passes when there are no customers at all.  The
-    per-key part is a sort-merge anti join (no broadcast of a large table);
-    the two flags come from one global aggregate attached on a constant key.
+    null order customer only passes when there are no customers at all.
+    The per-key part is a sort-merge anti join (no broadcast of a large
+    table); the two global facts are scalar subqueries, each evaluated once.
     """
     o = t["orders"]
     ids = t["customer"].select(F.col("customer_id").alias("_cid"))
-    flags = ids.agg(F.max(F.col("_cid").isNull().cast("int")).alias("_has_null"),
-                    F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
+    has_null = ids.where(F.col("_cid").isNull()).agg(F.count(F.lit(1)) > 0).scalar()
+    n_ids = ids.agg(F.count(F.lit(1))).scalar()
     missing = o.join(ids.where(F.col("_cid").isNotNull()).distinct(),
                      o["customer_id"] == F.col("_cid"), "left_anti")
-    j = missing.withColumn("_k", F.lit(1)).join(F.broadcast(flags), "_k", "inner")
-    keep = (F.col("_n") == 0) | (F.col("customer_id").isNotNull()
-                                 & (F.coalesce(F.col("_has_null"), F.lit(0)) == 0))
-    return j.where(keep).select(*o.columns)
+    keep = (n_ids == 0) | (F.col("customer_id").isNotNull() & ~has_null)
+    return missing.where(keep)
 
 
 def null_seller_audit(t: T) -> DataFrame:
