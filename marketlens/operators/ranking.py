@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.session import materialize
+
 OrderSpec = Sequence[Column | str]
 
 
@@ -77,8 +79,8 @@ def dense_rank_all(df: DataFrame, value: str, ascending: bool = True,
     back could miss; rows with a null value get a null rank.
     """
     key = F.col(value) if ascending else -F.col(value)
-    vals = df.select(key.cast("double").alias("_k"), F.col(value).alias("_v")) \
-        .where(F.col("_v").isNotNull()).distinct()
+    vals = materialize(df.select(key.cast("double").alias("_k"), F.col(value).alias("_v"))
+                       .where(F.col("_v").isNotNull()).distinct())
     n = vals.count()
     bins = max(1, math.ceil(n / rows_per_bin))
     if bins == 1:

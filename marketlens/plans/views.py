@@ -134,19 +134,27 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     *item row* of the seller (the source's pre-aggregation does not prevent
     that), and units are distinct line positions.  ``clean`` takes each
     (seller, order) once and counts item rows as units.
+
+    The seller id is the key of the seller table, so the aggregate groups by
+    the id alone (narrow hash keys for the distinct-count expansion) and the
+    seller's place is attached to the per-seller result.
     """
     pay = payments_per_order(t).select("order_id", "pay_sum")
     rev = reviews_per_order(t).select("order_id", "score_cnt",
                                       _review_avg().alias("avg_score"))
-    keys = ["seller_id", "seller_zip", "seller_city", "seller_state"]
-    i = items_per_seller(t)
+    s = t["sellers"].select("seller_id", F.col("seller_zip_code_prefix").alias("seller_zip"),
+                            "seller_city", "seller_state")
+    oi = t["order_item"].select("seller_id", "order_id", "order_item_id")
+    oc = orders_with_customer(t, "left").select("order_id", "customer_id",
+                                                "customer_city", "customer_state")
+    i = oi.join(s.select("seller_id"), "seller_id", "inner").join(oc, "order_id", "inner")
     if clean:
-        i = i.groupBy(*keys, "order_id", "customer_id", "customer_city",
+        i = i.groupBy("seller_id", "order_id", "customer_id", "customer_city",
                       "customer_state").agg(F.count(F.lit(1)).alias("units"))
     j = i.join(pay, "order_id", "left").join(rev, "order_id", "left")
     units = (F.sum("units").cast("bigint") if clean
              else F.countDistinct("order_item_id")).alias("unit_count")
-    g = j.groupBy(*keys).agg(
+    g = j.groupBy("seller_id").agg(
         F.countDistinct("order_id").alias("order_count"), units,
         F.countDistinct("customer_id").alias("customer_count"),
         F.countDistinct("customer_city").alias("city_count"),
@@ -154,8 +162,9 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
         F.sum("pay_sum").alias("total_sales"),
         F.sum("score_cnt").cast("bigint").alias("review_total"),
         F.sum(fixed("avg_score")).alias("_rs"), F.count("avg_score").alias("_rn"))
-    return g.select(
-        *keys, "order_count", "unit_count", "customer_count", "city_count", "state_count",
+    return s.join(g, "seller_id", "inner").select(
+        "seller_id", "seller_zip", "seller_city", "seller_state",
+        "order_count", "unit_count", "customer_count", "city_count", "state_count",
         _money("total_sales").alias("total_sales"),
         ratio("total_sales", "order_count").alias("avg_ticket"),
         ratio("customer_count", "city_count").alias("customers_per_city"),

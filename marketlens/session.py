@@ -62,3 +62,17 @@ def apply_runtime_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: keep the platform's
             pass
+
+
+def materialize(df):
+    """Cut lineage of a frame that several jobs read: reliable checkpoint
+    into the shared folder named by ``spark.checkpoint.dir``.  Without a
+    configured folder the frame stays lazy (recomputed, never written to a
+    machine-local temporary folder)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
