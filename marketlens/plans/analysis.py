@@ -20,8 +20,8 @@ from marketlens.plans.grain import (delivery_days, fanout_weights, items_enriche
                                     items_per_order, orders_with_customer,
                                     payments_per_order)
 from marketlens.plans.views import (customer_profile, payment_profile,
-                                    product_profile, seller_profile, zone_profile,
-                                    zone_profile_clean)
+                                    product_profile, seller_profile, unique_items,
+                                    zone_profile, zone_profile_clean)
 from marketlens.schema import FREIGHT_SUM, MONEY_SUM
 
 T = dict[str, DataFrame]
@@ -69,7 +69,9 @@ def top_cities_by_orders(t: T, n: int = 10) -> DataFrame:
 
 # ------------------------------------------------- 3.2 sales and products
 def _units_by_category(t: T) -> DataFrame:
-    return _sum_by(product_profile(t), "category", "unit_count", "units")
+    # the product view's unit_count is a row count of the distinct items, so
+    # its per-category sum is the distinct items' row count per category
+    return unique_items(t).groupBy("category").agg(F.count(F.lit(1)).alias("units"))
 
 
 def top_categories_by_units(t: T, n: int = 10) -> DataFrame:
@@ -131,7 +133,8 @@ def top_products_net_of_freight_clean(t: T, n: int = 10) -> DataFrame:
 
 
 def _category_share(t: T, swapped: bool) -> DataFrame:
-    cats = product_profile(t).groupBy("category").agg(F.sum("sales_total").alias("sales"))
+    # per-category sum of the product view's sales = sum of distinct items' prices
+    cats = unique_items(t).groupBy("category").agg(F.sum("price").alias("sales"))
     s = share_of_top_n(cats, "sales", 10, [DESC("sales"), ASC("category")])
     top = pct("top_sales", "all_sales")
     rest = pct(F.col("all_sales") - F.col("top_sales"), "all_sales")
@@ -339,8 +342,14 @@ def review_score_by_category(t: T, clean: bool = False) -> DataFrame:
             .join(t["orders"].select("order_id"), "order_id", "left_semi")
         j = cat.where(F.col("category").isNotNull()).withColumn("R", F.lit(1))
     else:
-        w4 = (product_profile(t).where(F.col("category").isNotNull())
-              .groupBy("product_id", "category").agg(F.count(F.lit(1)).alias("R")))
+        # R = product-view rows of the product = its distinct (category, place)
+        oc = orders_with_customer(t, "left").select("order_id", "customer_city",
+                                                    "customer_state")
+        places = (items_enriched(t).where(F.col("category").isNotNull())
+                  .select("order_id", F.col("item_product_id").alias("product_id"), "category")
+                  .join(oc, "order_id", "inner")
+                  .select("product_id", "category", "customer_city", "customer_state").distinct())
+        w4 = places.groupBy("product_id", "category").agg(F.count(F.lit(1)).alias("R"))
         j = it.join(w4, "product_id", "inner")
     sc = t["order_reviews"].where(F.col("review_score").isNotNull()).groupBy("order_id").agg(
         F.sum("review_score").cast("bigint").alias("ss"), F.count(F.lit(1)).alias("sn"))

@@ -135,9 +135,13 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     that), and units are distinct line positions.  ``clean`` takes each
     (seller, order) once and counts item rows as units.
 
-    The seller id is the key of the seller table, so the aggregate groups by
-    the id alone (narrow hash keys for the distinct-count expansion) and the
-    seller's place is attached to the per-seller result.
+    Plan: item rows are first reduced to (seller, order) with their count k
+    -- the order's customer and place are fixed per order, and order_id is
+    in the key, so this runs partition-locally after the order-bucketed
+    join.  Per-item sums become k-weighted sums; only the customer / city /
+    state distinct counts remain, on the smaller grain.  Positions are
+    counted from a narrow (seller, position) distinct.  The seller id is the
+    seller table's key, so the place is attached after aggregating.
     """
     pay = payments_per_order(t).select("order_id", "pay_sum")
     rev = reviews_per_order(t).select("order_id", "score_cnt",
@@ -148,23 +152,30 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     oc = orders_with_customer(t, "left").select("order_id", "customer_id",
                                                 "customer_city", "customer_state")
     i = oi.join(s.select("seller_id"), "seller_id", "inner").join(oc, "order_id", "inner")
-    if clean:
-        i = i.groupBy("seller_id", "order_id", "customer_id", "customer_city",
-                      "customer_state").agg(F.count(F.lit(1)).alias("units"))
-    j = i.join(pay, "order_id", "left").join(rev, "order_id", "left")
-    units = (F.sum("units").cast("bigint") if clean
-             else F.countDistinct("order_item_id")).alias("unit_count")
+    so = i.groupBy("seller_id", "order_id", "customer_id", "customer_city",
+                   "customer_state").agg(F.count(F.lit(1)).alias("k"))
+    j = so.join(pay, "order_id", "left").join(rev, "order_id", "left")
+    k = F.lit(1) if clean else F.col("k")
     g = j.groupBy("seller_id").agg(
-        F.countDistinct("order_id").alias("order_count"), units,
+        F.count(F.lit(1)).alias("order_count"),
         F.countDistinct("customer_id").alias("customer_count"),
         F.countDistinct("customer_city").alias("city_count"),
         F.countDistinct("customer_state").alias("state_count"),
-        F.sum("pay_sum").alias("total_sales"),
-        F.sum("score_cnt").cast("bigint").alias("review_total"),
-        F.sum(fixed("avg_score")).alias("_rs"), F.count("avg_score").alias("_rn"))
-    return s.join(g, "seller_id", "inner").select(
+        F.sum(F.col("pay_sum") * k).alias("total_sales"),
+        F.sum(F.col("score_cnt") * k).cast("bigint").alias("review_total"),
+        F.sum(fixed("avg_score") * k).alias("_rs"),
+        F.sum(F.when(F.col("avg_score").isNotNull(), k)).alias("_rn"),
+        F.sum("k").cast("bigint").alias("_items"))
+    if clean:
+        units = g.select("seller_id", F.col("_items").alias("unit_count"))
+    else:
+        units = (i.select("seller_id", "order_item_id").where(F.col("order_item_id").isNotNull())
+                 .distinct().groupBy("seller_id").agg(F.count(F.lit(1)).alias("unit_count")))
+    out = s.join(g, "seller_id", "inner").join(units, "seller_id", "left")
+    return out.select(
         "seller_id", "seller_zip", "seller_city", "seller_state",
-        "order_count", "unit_count", "customer_count", "city_count", "state_count",
+        "order_count", F.coalesce("unit_count", F.lit(0)).cast("bigint").alias("unit_count"),
+        "customer_count", "city_count", "state_count",
         _money("total_sales").alias("total_sales"),
         ratio("total_sales", "order_count").alias("avg_ticket"),
         ratio("customer_count", "city_count").alias("customers_per_city"),
