@@ -391,7 +391,26 @@ def top_zones(t: T, n: int = 5) -> DataFrame:
                                    F.asc_nulls_first("city"), F.asc_nulls_first("state")], n)
 
 
+VIEW_NAMES = {
+    "orders_detail": orders_detail, "customer_profile": customer_profile,
+    "seller_profile": seller_profile, "product_profile": product_profile,
+    "payment_profile": payment_profile, "zone_profile": zone_profile,
+}
+
+
+def publish_views(t: T, prefix: str = "") -> list[str]:
+    """Create or replace the six views as session views, so that SQL
+    users can query them by name (``spark.sql("select ... from zone_profile")``).
+    Views stay unmaterialised plans, as in the source."""
+    names = []
+    for name, fn in VIEW_NAMES.items():
+        fn(t).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
+
+
 __all__ = [
+    "publish_views", "VIEW_NAMES",
     "orders_detail", "customer_profile", "customer_profile_all", "items_per_seller",
     "seller_profile", "unique_items", "product_profile", "top_product_rows",
     "payment_profile", "top_city_by_payment", "unique_zips", "delivered_orders",

@@ -136,3 +136,35 @@ def test_november_fridays(handmade):
            .november_fridays(t).collect()}
     assert seg["november_friday"]["days"] == 1
     assert str(seg["november_friday"]["sales"]) == "250.00"
+
+
+def test_publish_views(spark, handmade):
+    t, _ = handmade
+    names = W.publish_views(t, prefix="hm_")
+    assert len(names) == 6
+    n = spark.sql("select count(*) from hm_orders_detail").first()[0]
+    assert n == W.orders_detail(t).count()
+    z = spark.sql("select sum(order_count) from hm_zone_profile where zip = '02002'").first()[0]
+    assert z == 0     # o4 was delivered before purchase: excluded by days >= 0
+
+
+def test_clean_payment_view_keeps_every_payment_once(handmade):
+    t, _ = handmade
+    clean = W.payment_profile(t, clean=True).agg(F.sum("total_paid")).first()[0]
+    # payments of orders that have items and a known customer
+    expect = (t["order_payments"].join(t["order_item"].select("order_id").distinct(), "order_id")
+              .join(t["orders"].join(t["customer"].select("customer_id"), "customer_id")
+                    .select("order_id"), "order_id")
+              .agg(F.sum("payment_value")).first()[0])
+    assert clean == expect
+    faithful = W.payment_profile(t).agg(F.sum("total_paid")).first()[0]
+    assert faithful >= clean
+
+
+def test_period_growth_gaps_and_zero(spark):
+    from marketlens.operators import period_growth
+    df = spark.createDataFrame([(2017, 1, 10), (2017, 3, 0), (2017, 4, 5), (2017, 5, 10)],
+                               "year int, month int, n bigint")
+    out = period_growth(df, ["year", "month"], "n").orderBy("year", "month").collect()
+    assert [r.prev for r in out] == [None, 10, 0, 5]       # lag over rows, gaps kept
+    assert [r.growth_pct for r in out] == [None, -100.0, None, 100.0]
