@@ -19,6 +19,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # bucketed tables written one file per bucket and sorted by the key
+    # report that order, so sort-merge joins on the key skip their sorts
+    # (Spark only claims the order when each bucket is a single file)
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 

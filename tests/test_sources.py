@@ -63,3 +63,17 @@ def test_staged_order_grain_joins_without_exchange(spark, handmade):
     assert staged["orders"].count() == t["orders"].count()
     assert staged["order_item"].agg(F.sum("price")).first()[0] == \
         t["order_item"].agg(F.sum("price")).first()[0]
+
+
+def test_one_file_per_bucket_and_sort_free_join(spark, handmade):
+    import glob
+    t, _ = handmade
+    staged = stage_tables(spark, t, database="test_stage_files", buckets=4)
+    loc = spark.sql("describe formatted test_stage_files.order_item") \
+        .where("col_name = 'Location'").first()["data_type"]
+    files = glob.glob(loc.replace("file:", "") + "/*.parquet")
+    ids = [f.rsplit("_", 1)[-1].split(".")[0] for f in files]
+    assert len(ids) == len(set(ids)) <= 4          # at most one file per bucket
+    j = staged["orders"].join(staged["order_item"], "order_id")
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan or "Sort [" not in plan
