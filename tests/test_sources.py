@@ -77,3 +77,20 @@ def test_one_file_per_bucket_and_sort_free_join(spark, handmade):
     j = staged["orders"].join(staged["order_item"], "order_id")
     plan = j._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan or "Sort [" not in plan
+
+
+def test_database_zip_dimension_and_export(spark, handmade):
+    from marketlens.sources import create_database, export_model, write_clustered, zip_dimension
+    from marketlens.sources.layout import LAYOUTS
+    t, _ = handmade
+    create_database(spark, "ml_test_db")
+    assert spark.catalog.currentDatabase() == "ml_test_db"
+    spark.catalog.setCurrentDatabase("default")
+    z = sorted(r[0] for r in zip_dimension(t).collect())
+    assert z == ["01001", "02002", "03003", "04004"]
+    d = tempfile.mkdtemp(prefix="run-export-", dir="/tmp")
+    export_model({"dim_seller": t["sellers"]}, d)
+    assert spark.read.parquet(f"{d}/dim_seller").count() == 3
+    write_clustered(t["customer"], f"{d}/customer", layout=LAYOUTS["customer"], buckets=2)
+    back = spark.read.parquet(f"{d}/customer")
+    assert back.count() == t["customer"].count()
