@@ -16,6 +16,7 @@ from marketlens.functions.columns import ratio
 from marketlens.plans import analysis as A
 from marketlens.plans import kpi as K
 from marketlens.plans import model as M
+from marketlens.plans import pipeline as P
 from marketlens.plans import validation as V
 from marketlens.plans import views as W
 from marketlens.plans.grain import payments_per_order, reviews_per_order
@@ -44,6 +45,7 @@ QUERIES: dict[str, Callable[[T], DataFrame]] = {
     "distinct_status": V.distinct_status,
     "orphan_orders": V.orphan_orders,
     "null_seller_audit": V.null_seller_audit,
+    "constraint_report": P.constraint_report,
     # W: views, their CTE operators and sample queries
     "orders_detail": W.orders_detail,
     "customer_profile": W.customer_profile,
