@@ -158,7 +158,7 @@ def seller_order_rank(t: T, n: int = 10) -> DataFrame:
     """Q11: distinct orders per seller of the order-detail view (null seller
     = orders without a known seller), dense rank, first n by rank."""
     o = t["orders"].select("order_id")
-    it = items_enriched(t).select("order_id", "seller_id")
+    it = items_enriched(t, product=False).select("order_id", "seller_id")
     pairs = o.join(it, "order_id", "left").select("seller_id", "order_id").distinct()
     g = pairs.groupBy("seller_id").agg(F.count(F.lit(1)).alias("orders"))
     return top_n_ranked(g, [DESC("orders")], [ASC("seller_id")], n, "dense_rank") \
@@ -189,7 +189,8 @@ def _seller_delivery_days(t: T, int_avg: bool) -> DataFrame:
     """Average days per seller over the order-detail rows of delivered
     items (days > 0); every item row stands for m(np) * m(nr) view rows."""
     d = delivery_days(t).where(F.col("days") > 0).select("order_id", "days")
-    it = items_enriched(t).where(F.col("seller_id").isNotNull()).select("order_id", "seller_id")
+    it = items_enriched(t, product=False).where(F.col("seller_id").isNotNull()) \
+        .select("order_id", "seller_id")
     j = it.join(d, "order_id", "inner").join(fanout_weights(t), "order_id", "inner")
     g = j.groupBy("seller_id").agg(F.sum(F.col("days") * F.col("w")).alias("s"),
                                    F.sum("w").alias("c"))
@@ -229,7 +230,8 @@ def _weighted_days(j: DataFrame, keys: list[str], int_avg: bool) -> DataFrame:
 
 def delivery_days_by_category(t: T, int_avg: bool = True) -> DataFrame:
     """Q17: average days per category over order-detail rows."""
-    it = items_enriched(t).where(F.col("category").isNotNull()).select("order_id", "category")
+    it = items_enriched(t, seller=False).where(F.col("category").isNotNull()) \
+        .select("order_id", "category")
     j = (it.join(delivery_days(t).select("order_id", "days"), "order_id", "inner")
          .join(fanout_weights(t), "order_id", "inner"))
     return _weighted_days(j, ["category"], int_avg)
@@ -238,7 +240,7 @@ def delivery_days_by_category(t: T, int_avg: bool = True) -> DataFrame:
 def delivery_days_by_state_category(t: T, int_avg: bool = True) -> DataFrame:
     """Q18: average days per customer state and category (null kept)."""
     oc = orders_with_customer(t, "left").select("order_id", "customer_state")
-    it = items_enriched(t).select("order_id", "category")
+    it = items_enriched(t, seller=False).select("order_id", "category")
     j = (oc.join(it, "order_id", "left")
          .join(delivery_days(t).select("order_id", "days"), "order_id", "inner")
          .join(fanout_weights(t), "order_id", "inner"))
@@ -338,14 +340,14 @@ def review_score_by_category(t: T, clean: bool = False) -> DataFrame:
     it = t["order_item"].select("order_id", "product_id") \
         .join(t["orders"].select("order_id"), "order_id", "left_semi")
     if clean:
-        cat = items_enriched(t).select("order_id", "category") \
+        cat = items_enriched(t, seller=False).select("order_id", "category") \
             .join(t["orders"].select("order_id"), "order_id", "left_semi")
         j = cat.where(F.col("category").isNotNull()).withColumn("R", F.lit(1))
     else:
         # R = product-view rows of the product = its distinct (category, place)
         oc = orders_with_customer(t, "left").select("order_id", "customer_city",
                                                     "customer_state")
-        places = (items_enriched(t).where(F.col("category").isNotNull())
+        places = (items_enriched(t, seller=False).where(F.col("category").isNotNull())
                   .select("order_id", F.col("item_product_id").alias("product_id"), "category")
                   .join(oc, "order_id", "inner")
                   .select("product_id", "category", "customer_city", "customer_state").distinct())

@@ -58,32 +58,37 @@ def fanout_weights(t: dict[str, DataFrame], payments: bool = True,
     return o.select("order_id", w.alias("w"))
 
 
-def items_enriched(t: dict[str, DataFrame]) -> DataFrame:
+def items_enriched(t: dict[str, DataFrame], product: bool = True,
+                   seller: bool = True) -> DataFrame:
     """Item grain with product, translated category and seller attributes.
 
     ``product_id`` / ``seller_id`` come from the dimension tables (null when
-    the referenced row is missing), as in the order-detail view.
+    the referenced row is missing), as in the order-detail view.  Callers
+    ask only for the dimensions they read: Catalyst cannot drop an unused
+    left join to a plain table, and at scale each one is a shuffle of the
+    item table on the dimension key.
     """
     oi = t["order_item"]
-    p = t["products"].select(F.col("product_id").alias("p_product_id"),
-                             "product_category_name")
-    tr = t["translation"].select(F.col("product_category_name").alias("tr_name"),
-                                 F.col("product_category_name_english").alias("category"))
-    s = t["sellers"].select(F.col("seller_id").alias("s_seller_id"),
-                            F.col("seller_zip_code_prefix").alias("seller_zip"),
-                            F.col("seller_city"), F.col("seller_state"))
-    j = (oi.join(p, oi["product_id"] == p["p_product_id"], "left")
-         .join(tr, F.col("product_category_name") == tr["tr_name"], "left")
-         .join(s, oi["seller_id"] == s["s_seller_id"], "left"))
-    return j.select(
-        oi["order_id"], oi["order_item_id"],
-        F.col("p_product_id").alias("product_id"),
-        oi["product_id"].alias("item_product_id"),
-        F.col("category"), oi["price"], oi["freight_value"],
-        oi["shipping_limit_date"].alias("ship_limit_at"),
-        F.col("s_seller_id").alias("seller_id"),
-        oi["seller_id"].alias("item_seller_id"),
-        "seller_zip", "seller_city", "seller_state")
+    j = oi
+    cols = [oi["order_id"], oi["order_item_id"], oi["product_id"].alias("item_product_id"),
+            oi["price"], oi["freight_value"], oi["shipping_limit_date"].alias("ship_limit_at"),
+            oi["seller_id"].alias("item_seller_id")]
+    if product:
+        p = t["products"].select(F.col("product_id").alias("p_product_id"),
+                                 "product_category_name")
+        tr = t["translation"].select(F.col("product_category_name").alias("tr_name"),
+                                     F.col("product_category_name_english").alias("category"))
+        j = (j.join(p, oi["product_id"] == p["p_product_id"], "left")
+             .join(tr, F.col("product_category_name") == tr["tr_name"], "left"))
+        cols += [F.col("p_product_id").alias("product_id"), F.col("category")]
+    if seller:
+        s = t["sellers"].select(F.col("seller_id").alias("s_seller_id"),
+                                F.col("seller_zip_code_prefix").alias("seller_zip"),
+                                F.col("seller_city"), F.col("seller_state"))
+        j = j.join(s, oi["seller_id"] == s["s_seller_id"], "left")
+        cols += [F.col("s_seller_id").alias("seller_id"), "seller_zip", "seller_city",
+                 "seller_state"]
+    return j.select(*cols)
 
 
 def orders_with_customer(t: dict[str, DataFrame], how: str = "left") -> DataFrame:

@@ -190,9 +190,9 @@ def unique_items(t: T) -> DataFrame:
     DISTINCT includes order_id, so it reuses that join's partitioning.
     """
     oc = orders_with_customer(t, "left").select("order_id", "customer_city", "customer_state")
-    it = items_enriched(t).select("order_id", "order_item_id",
-                                  F.col("item_product_id").alias("product_id"),
-                                  "category", "price")
+    it = items_enriched(t, seller=False).select("order_id", "order_item_id",
+                                                F.col("item_product_id").alias("product_id"),
+                                                "category", "price")
     return (oc.join(it, "order_id", "left")
             .select("order_id", "order_item_id", "product_id", "category", "price",
                     "customer_city", "customer_state").distinct())
