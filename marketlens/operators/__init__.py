@@ -1,7 +1,7 @@
 """Reusable DataFrame operators."""
 
 from marketlens.operators.quality import fk_violations, pk_violations  # noqa: F401
-from marketlens.operators.ranking import (dense_rank_all, top_n,  # noqa: F401
+from marketlens.operators.ranking import (dense_rank_all, rank_by, top_n,  # noqa: F401
                                           top_n_per_group, top_n_ranked)
 from marketlens.operators.shares import (conditional_share, period_growth,  # noqa: F401
                                          share_of_top_n)

@@ -10,10 +10,10 @@ through one task.
 * ``top_n_per_group`` – partitioned window with a rank filter; Spark plans a
                         WindowGroupLimit before the shuffle, so each group
                         sends at most n rows per map partition.
-* ``dense_rank_all``  – dense rank of every row.  Ranks the distinct values
-                        in equal-depth bins (bounds from ``approxQuantile``,
-                        one offset per bin), then joins back: no global
-                        single-partition window over the data.
+* ``rank_by``         – rank / dense rank of every row.  Ranks the distinct
+                        values in equal-depth bins (bounds from
+                        ``approxQuantile``, one offset per bin), then joins
+                        back: no global single-partition window over the data.
 """
 
 from __future__ import annotations
@@ -65,39 +65,58 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: OrderSpec, n: in
     return out.withColumnRenamed("_rn", rank_col) if rank_col else out.drop("_rn")
 
 
-def dense_rank_all(df: DataFrame, value: str, ascending: bool = True,
-                   rank_col: str = "rank", rows_per_bin: int = 1_000_000) -> DataFrame:
-    """O6 over all rows: dense rank of non-null numeric ``value``.
+def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bool = True,
+            rank_col: str = "rank", rows_per_bin: int = 1_000_000) -> DataFrame:
+    """O6 over all rows: SQL ``dense_rank`` or ``rank`` of non-null numeric
+    ``value``, without a global single-partition window.
 
-    1. distinct values (hash aggregate, partial map-side);
-    2. if they exceed ``rows_per_bin``: equal-depth bin bounds from
-       ``approxQuantile`` (``bins - 1`` numbers on the driver), a count per
-       bin, prefix offsets over the bins (``bins`` rows);
-    3. ``row_number`` inside each bin (distinct values) + bin offset;
+    1. distinct values with their row counts (partial aggregation: a value
+       holding a third of all rows is still one row here);
+    2. if there are more than ``rows_per_bin`` distinct values: equal-depth
+       bins from ``approxQuantile`` (``bins - 1`` bounds on the driver) and
+       one offset per bin (distinct values, or rows for ``rank``, in lower
+       bins) -- ``bins`` rows, broadcast;
+    3. inside each bin: ``row_number`` (dense rank) or a running row count
+       (rank) over the values, plus the bin offset;
     4. join back on the value.
-    ``value`` must be deterministic (computed from exact sums), or the join
-    back could miss; rows with a null value get a null rank.
+    ``value`` must be deterministic (computed from exact sums) for the join
+    back; rows with a null value get a null rank.  A full ``row_number``
+    over all rows is not offered: the queries only need it for a top-n cut
+    (``top_n_ranked``).
     """
+    if method not in ("dense_rank", "rank"):
+        raise ValueError(method)
     key = F.col(value) if ascending else -F.col(value)
-    vals = materialize(df.select(key.cast("double").alias("_k"), F.col(value).alias("_v"))
-                       .where(F.col("_v").isNotNull()).distinct())
+    vals = materialize(df.where(F.col(value).isNotNull())
+                       .groupBy(key.cast("double").alias("_k"), F.col(value).alias("_v"))
+                       .agg(F.count(F.lit(1)).alias("_c")))
     n = vals.count()
     bins = max(1, math.ceil(n / rows_per_bin))
+    weight = F.lit(1) if method == "dense_rank" else F.col("_c")
+    upto = Window.unboundedPreceding, Window.currentRow
     if bins == 1:
-        ranked = vals.withColumn("_r", F.row_number().over(Window.orderBy("_k")))
+        binned = vals.withColumn("_bin", F.lit(0)).withColumn("_off", F.lit(0).cast("bigint"))
     else:
         probs = [i / bins for i in range(1, bins)]
         bounds = sorted(set(vals.approxQuantile("_k", probs, 1.0 / (10 * bins))))
         arr = F.array(*[F.lit(float(b)) for b in bounds])
         binned = vals.withColumn("_bin", F.size(F.filter(arr, lambda b: b < F.col("_k"))))
-        counts = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
+        counts = binned.groupBy("_bin").agg(F.sum(weight).alias("_n"))
         offsets = counts.withColumn(
             "_off", F.coalesce(F.sum("_n").over(
                 Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0))).select("_bin", "_off")
-        ranked = (binned.join(F.broadcast(offsets), "_bin")
-                  .withColumn("_r", F.col("_off") + F.row_number().over(
-                      Window.partitionBy("_bin").orderBy("_k")))
-                  .select("_k", "_v", "_r"))
-    ranked = ranked.select(F.col("_v"), F.col("_r").cast("int").alias(rank_col))
+        binned = binned.join(F.broadcast(offsets), "_bin")
+    within = Window.partitionBy("_bin").orderBy("_k")
+    if method == "dense_rank":
+        pos = F.row_number().over(within)
+    else:  # rows with a strictly better value, plus one
+        pos = F.sum("_c").over(within.rowsBetween(*upto)) - F.col("_c") + 1
+    ranked = binned.select(F.col("_v"), (F.col("_off") + pos).cast("int").alias(rank_col))
     return df.join(ranked, df[value] == ranked["_v"], "left").drop("_v")
+
+
+def dense_rank_all(df: DataFrame, value: str, ascending: bool = True,
+                   rank_col: str = "rank", rows_per_bin: int = 1_000_000) -> DataFrame:
+    """Dense rank of every row (``rank_by`` with ``method="dense_rank"``)."""
+    return rank_by(df, value, "dense_rank", ascending, rank_col, rows_per_bin)

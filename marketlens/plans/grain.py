@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from marketlens.functions.columns import at_least_one, day_diff
 
 
+def per_order(df: DataFrame, *aggs) -> DataFrame:
+    """One row per order with the given aggregates."""
+    return df.groupBy("order_id").agg(*aggs)
+
+
 def items_per_order(t: dict[str, DataFrame]) -> DataFrame:
     """ni = item rows, ni_ids = non-null positions, freight sum / count."""
-    return t["order_item"].groupBy("order_id").agg(
+    return per_order(t["order_item"],
         F.count(F.lit(1)).alias("ni"),
         F.count("order_item_id").alias("ni_ids"),
         F.sum("freight_value").alias("freight_sum"),
@@ -27,7 +32,7 @@ def items_per_order(t: dict[str, DataFrame]) -> DataFrame:
 
 def payments_per_order(t: dict[str, DataFrame]) -> DataFrame:
     """W3 CTE: np = payment rows, pay_sum = sum(payment_value) per order."""
-    return t["order_payments"].groupBy("order_id").agg(
+    return per_order(t["order_payments"],
         F.count(F.lit(1)).alias("np"),
         F.sum("payment_value").alias("pay_sum"),
         F.count("payment_value").alias("pay_cnt"))
@@ -35,7 +40,7 @@ def payments_per_order(t: dict[str, DataFrame]) -> DataFrame:
 
 def reviews_per_order(t: dict[str, DataFrame]) -> DataFrame:
     """W3 CTE: nr = review rows, score sum / count of non-null scores."""
-    return t["order_reviews"].groupBy("order_id").agg(
+    return per_order(t["order_reviews"],
         F.count(F.lit(1)).alias("nr"),
         F.count("review_score").alias("score_cnt"),
         F.sum("review_score").cast("bigint").alias("score_sum"))

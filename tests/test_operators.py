@@ -100,3 +100,17 @@ def test_key_checks(spark):
     assert got == {("a", 2, "duplicate"), (None, 1, "null")}
     c = spark.createDataFrame([("a",), ("z",), ("z",), (None,)], "fk string")
     assert [(r.value, r.n) for r in fk_violations(c, "fk", p, "id").collect()] == [("z", 2)]
+
+
+@pytest.mark.parametrize("method,fn", [("dense_rank", F.dense_rank), ("rank", F.rank)])
+@pytest.mark.parametrize("asc", [True, False])
+def test_rank_by_matches_window(spark, method, fn, asc):
+    from marketlens.operators import rank_by
+    # a hot value (0.0) holds a third of the rows
+    vals = [(i, 0.0 if i % 3 == 0 else float((i * 37) % 101) / 3.0) for i in range(300)]
+    df = spark.createDataFrame(vals, "k int, v double")
+    got = {r.k: r["rank"] for r in rank_by(df, "v", method, asc, rows_per_bin=9).collect()}
+    order = F.col("v") if asc else F.desc("v")
+    want = {r.k: r.r for r in df.select("k", fn().over(Window.orderBy(order)).alias("r"))
+            .collect()}
+    assert got == want
