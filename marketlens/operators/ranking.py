@@ -87,11 +87,14 @@ def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bo
     if method not in ("dense_rank", "rank"):
         raise ValueError(method)
     key = F.col(value) if ascending else -F.col(value)
-    vals = materialize(df.where(F.col(value).isNotNull())
-                       .groupBy(key.cast("double").alias("_k"), F.col(value).alias("_v"))
-                       .agg(F.count(F.lit(1)).alias("_c")))
+    vals = (df.where(F.col(value).isNotNull())
+            .groupBy(key.cast("double").alias("_k"), F.col(value).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
     n = vals.count()
     bins = max(1, math.ceil(n / rows_per_bin))
+    if bins > 1:
+        # several jobs read the distinct values from here on: cut the lineage
+        vals = materialize(vals)
     weight = F.lit(1) if method == "dense_rank" else F.col("_c")
     upto = Window.unboundedPreceding, Window.currentRow
     if bins == 1:
