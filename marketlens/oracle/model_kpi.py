@@ -69,7 +69,7 @@ def _norm(col: str) -> str:
 
 def _sub(key: str, col: str) -> str:
     """Scalar subquery over another registered query's SQL."""
-    return f"(SELECT {col} FROM ({Q[key]}) s)"
+    return f"(SELECT {col} FROM {{{{sql:{key}}}}} s)"
 
 
 # --------------------------------------------------------------- star model
