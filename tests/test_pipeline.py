@@ -25,3 +25,21 @@ def test_setup_then_questions_then_model(spark, t001):
     assert names == list(MODEL_TABLES)
     assert spark.read.parquet(f"{out}/fact_order_items").count() == \
         t001["order_item"].join(t001["orders"], "order_id").count()
+
+
+def test_setup_from_csv_export(spark, t001):
+    import os
+
+    from marketlens.schema import CSV_NAMES
+    d = tempfile.mkdtemp(prefix="run-csvsetup-", dir="/tmp")
+    for name, df in t001.items():
+        out = os.path.join(d, "parts", name)
+        df.coalesce(1).write.option("header", True).csv(out)
+        part = [p for p in os.listdir(out) if p.endswith(".csv")][0]
+        os.link(os.path.join(out, part), os.path.join(d, f"{CSV_NAMES[name]}.csv"))
+    res = setup(spark, d, fmt="csv", database="pipe_csv", stage=False)
+    assert all(q.count() == 0 for q in res.quarantine.values())
+    for key in ("top10_seller_concentration", "zone_profile", "review_by_delivery_bucket"):
+        a = sorted(map(tuple, QUERIES[key](res.tables).collect()))
+        b = sorted(map(tuple, QUERIES[key](t001).collect()))
+        assert a == b, key
