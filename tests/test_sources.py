@@ -76,9 +76,15 @@ def test_one_file_per_bucket_and_sort_free_join(spark, handmade):
     files = glob.glob(loc.replace("file:", "") + "/*.parquet")
     ids = [f.rsplit("_", 1)[-1].split(".")[0] for f in files]
     assert len(ids) == len(set(ids)) <= 2          # at most one file per bucket
-    j = staged["orders"].join(staged["order_item"], "order_id")
-    plan = j._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan or "Sort [" not in plan
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = staged["orders"].join(staged["order_item"], "order_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan
+    assert "Exchange" not in plan and "Sort [" not in plan
 
 
 def test_database_zip_dimension_and_export(spark, handmade):
