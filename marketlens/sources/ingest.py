@@ -23,17 +23,21 @@ def _as_strings(schema: StructType) -> StructType:
     return StructType([StructField(f.name, StringType(), True) for f in schema.fields])
 
 
-def ingest_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+def ingest_csv(spark: SparkSession, path: str, table: str,
+               names: dict[str, str] | None = None) -> DataFrame:
     """Read one CSV export as all-string columns.
 
-    ``multiLine`` keeps quoted newlines (review texts) inside one record;
-    ``mode=PERMISSIVE`` keeps short rows with nulls.
+    ``names`` maps a table to its file name (without ``.csv``) when the
+    export does not use the table names.  ``multiLine`` keeps quoted
+    newlines (review texts) inside one record; ``mode=PERMISSIVE`` keeps
+    short rows with nulls.
     """
     schema = _as_strings(SCHEMAS[table])
+    file = (names or {}).get(table, CSV_NAMES[table])
     return (spark.read.schema(schema)
             .option("header", True).option("multiLine", True)
             .option("escape", '"').option("mode", "PERMISSIVE")
-            .csv(f"{path}/{CSV_NAMES[table]}.csv"))
+            .csv(f"{path}/{file}.csv"))
 
 
 def _typed(col: str, dtype) -> F.Column:
@@ -61,11 +65,12 @@ def retype(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
     return good, quarantine
 
 
-def load_csv(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def load_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None
+             ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """All nine tables from a CSV export -> (canonical tables, quarantines)."""
     good, bad = {}, {}
     for table, schema in SCHEMAS.items():
-        good[table], bad[table] = retype(ingest_csv(spark, path, table), schema)
+        good[table], bad[table] = retype(ingest_csv(spark, path, table, names), schema)
     return good, bad
 
 
