@@ -26,6 +26,18 @@ RUNTIME_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """60 % of physical memory, capped at 8 GiB (local mode: the driver is
+    the only JVM)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal"))
+        mb = int(kb / 1024 * 0.6)
+    except (OSError, StopIteration, ValueError):
+        mb = 4096
+    return f"{max(1024, min(mb, 8192))}m"
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app: str = "marketlens", scratch: str | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -35,7 +47,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g")
+         .config("spark.driver.memory", _driver_memory())
          .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
          .config("spark.local.dir", os.path.join(scratch, "local")))
     for k, v in {**RUNTIME_CONF, **(extra or {})}.items():
