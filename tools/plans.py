@@ -38,10 +38,15 @@ def main() -> None:
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--raw", action="store_true")
     ap.add_argument("--full", action="store_true")
+    ap.add_argument("--no-broadcast", action="store_true",
+                    help="plan as at scale: no table fits a broadcast")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
+    extra = {"spark.sql.adaptive.enabled": "false"}
+    if a.no_broadcast:
+        extra["spark.sql.autoBroadcastJoinThreshold"] = "-1"
     spark = build_session(scratch=tempfile.mkdtemp(prefix="run-plans-", dir="/tmp"),
-                          extra={"spark.sql.adaptive.enabled": "false"})
+                          extra=extra)
     t = load(spark, a.sf)
     if not a.raw:
         t = stage_tables(spark, t, database="plans", buckets=8)
