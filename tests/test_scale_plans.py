@@ -31,3 +31,25 @@ def test_all_keys_without_broadcast(spark, t001, duck001, no_broadcast):
         if not (r.columns_match and r.spark_rows == r.oracle_rows and r.values_exact):
             failures.append((key, r.notes))
     assert not failures, failures
+
+
+def test_single_partition_only_after_aggregation(spark, t001, no_broadcast):
+    """Every exchange into a single partition sits on an aggregate or a
+    top-n: no unaggregated data is funnelled into one task."""
+    import re
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    bad = []
+    try:
+        for key in sorted(QUERIES):
+            lines = QUERIES[key](t001)._jdf.queryExecution().executedPlan().toString() \
+                .splitlines()
+            for i, line in enumerate(lines):
+                if "Exchange SinglePartition" in line:
+                    child = lines[i + 1] if i + 1 < len(lines) else ""
+                    if not re.search(r"HashAggregate|SortAggregate|TakeOrderedAndProject|"
+                                     r"Union|GlobalLimit|LocalLimit", child):
+                        bad.append((key, child.strip()[:100]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert not bad, bad
