@@ -1,55 +1,50 @@
 """Plans as they look at scale: with broadcast joins disabled (no table of
-the order grain fits a broadcast at 100 TB) every query still plans without
-Cartesian products and still matches its oracle."""
+the order grain fits a broadcast at 100 TB) and the static plan (AQE off),
+every query plans without Cartesian products or nested-loop joins, funnels
+data into a single partition only after an aggregate or a top-n, and still
+matches its oracle."""
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from marketlens.oracle import ORACLE_SQL
 from marketlens.plans.registry import QUERIES
 from marketlens.testing import compare
 
+REDUCED = re.compile(r"HashAggregate|SortAggregate|TakeOrderedAndProject|Union|"
+                     r"GlobalLimit|LocalLimit")
+
 
 @pytest.fixture
-def no_broadcast(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def scale_shape(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for k, v in old.items():
+        spark.conf.set(k, v)
 
 
-def test_all_keys_without_broadcast(spark, t001, duck001, no_broadcast):
+def test_all_keys_at_scale_shape(spark, t001, duck001, scale_shape):
     failures = []
     for key in sorted(QUERIES):
         df = QUERIES[key](t001)
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        plan = "\n".join(lines)
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             failures.append((key, "nested loop"))
             continue
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                child = lines[i + 1] if i + 1 < len(lines) else ""
+                if not REDUCED.search(child):
+                    failures.append((key, "single partition over " + child.strip()[:80]))
         r = compare(key, df, duck001, ORACLE_SQL[key])
         if not (r.columns_match and r.spark_rows == r.oracle_rows and r.values_exact):
             failures.append((key, r.notes))
     assert not failures, failures
-
-
-def test_single_partition_only_after_aggregation(spark, t001, no_broadcast):
-    """Every exchange into a single partition sits on an aggregate or a
-    top-n: no unaggregated data is funnelled into one task."""
-    import re
-    old = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    bad = []
-    try:
-        for key in sorted(QUERIES):
-            lines = QUERIES[key](t001)._jdf.queryExecution().executedPlan().toString() \
-                .splitlines()
-            for i, line in enumerate(lines):
-                if "Exchange SinglePartition" in line:
-                    child = lines[i + 1] if i + 1 < len(lines) else ""
-                    if not re.search(r"HashAggregate|SortAggregate|TakeOrderedAndProject|"
-                                     r"Union|GlobalLimit|LocalLimit", child):
-                        bad.append((key, child.strip()[:100]))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", old)
-    assert not bad, bad
