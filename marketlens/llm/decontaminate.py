@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_filter, may_hold, mix, written
+from .shared import hash_filter, may_hold, mix, slices, written
 
 # Words read as numbers and as units.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen
@@ -45,7 +45,7 @@ _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
 class _Words(dict):
     """Word -> row of (hash, kind, capitalised, ends a sentence, empty)."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
         self.hashes, self.flags = np.empty(bound, np.uint64), np.empty((bound, 4), np.int8)
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least_cov
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             ids, pos, hashes, slots = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes, slot, value = template(text, words)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix
+from .shared import mix, slices
 from .training import id_remainder, labelled_sample, prior
 
 BITS = 18
@@ -47,7 +47,7 @@ def shape(word: str) -> int:
 class WordTable(dict):
     """Word -> row of its hash and shape, remembered up to a bound."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
         self.hashes, self.shapes = np.empty(bound, np.uint64), np.empty(bound, np.int64)
@@ -180,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, parts:
     part; each label's weight in the curve follows its share of all labels."""
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 0)):
             ids = [features(t, table).astype(np.int32) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
 
@@ -209,7 +209,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         w, r, a, b = shared.value
         own = QualityModel(w.astype(np.float64), r.astype(np.float64), a, b)
         table = WordTable()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             margins = [own.margin(features(t, table)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.asarray(own.score(margins), np.float64).reshape(-1))],

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, quality, token_scan, topk, toxicity, warc)
+from .shared import bounded_batches
 
 #: Target shares of the named sources; every other source is one class with share 4.
 SOURCE_SHARES = {"src0": 5, "src1": 2, "src2": 2, "src3": 2, "src4": 1, "src5": 1, "src6": 1, "src7": 1, "src8": 1}
@@ -13,6 +14,7 @@ OTHER_SHARE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a reread and never a rerun of what came before."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of 8 MiB at most, so a task's memory
+    outside the heap doesn't follow the length of the texts.  A smaller bound
+    that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not (now.rstrip("bB").isdigit() and 0 < int(now.rstrip("bB")) <= 8 << 20):
+        spark.conf.set(key, str(8 << 20))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``limit`` bytes of ``column``, strings or
+    lists of 8-byte numbers (or one row), so a task's memory follows one part
+    and not a whole batch."""
+    values = batch.column(column)
+    each = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(each, 0).to_numpy(zero_copy_only=False), np.int64))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + limit, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def ascii_lower(col):
@@ -154,11 +189,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = written(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
-        # done once no node is both below a root and a root itself: each component is a star
-        if now.join(now.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left_semi").isEmpty():
-            # in a star of smallest roots no node hangs from two of them
-            if now.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-                break
+        # done once each component is a star: no node hangs from two roots, or from a node that hangs itself
+        twice = now.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+        below = now.join(now.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left_semi")
+        if twice.union(below.select("a")).isEmpty():
+            break
         now = written(star(star(now, True), False), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

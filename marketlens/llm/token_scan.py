@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import new_folder, slices, written
 
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 EOD = 50256
@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, fs, out, name, count, size = None, None, None, "", 0, 0
         ids: list = []
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if out is None:
                     enc = load_encoder(tokenizer)

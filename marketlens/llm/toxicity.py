@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import slices
 from .training import labelled_sample, prior
 
 # Groups of interchangeable identity terms.
@@ -95,10 +96,10 @@ class _Words(dict):
         self.kept = None if kept is None else set(kept.tolist())
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > 300_000:
+        if len(self) > (50_000 if self.kept is None else 200_000):
             self.clear()
         f = word_features(word)
-        f = self[word] = f if self.kept is None else [x for x in f if x in self.kept]
+        f = self[word] = f if self.kept is None else tuple(x for x in f if x in self.kept)
         return f
 
 
@@ -180,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, parts
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         kind = pa.list_(pa.int32())
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 0)):
             texts = b.column(0).to_pylist()
             other = [counterfactual(t, swaps) if t else None for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +210,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = ToxicityModel(*shared.value).scorer()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, at)):
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([score(t) for t in b.column(at).to_pylist()], pa.float64())],
                 [*b.schema.names, "toxicity_score"])

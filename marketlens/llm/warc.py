@@ -15,6 +15,7 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import json
 import re
 import uuid
@@ -22,11 +23,10 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import slices, written
 from .token_scan import opened
 
 RECORD = ("warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
@@ -113,8 +113,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     rows get equal identifiers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                rows = [x for r in b.slice(start, 500).to_pylist() for x in derivatives(r)]
+            for part in slices(b, _COLUMNS.index("block")):
+                rows = [x for r in part.to_pylist() for x in derivatives(r)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return responses.where("warc_type = 'response'").select(*_COLUMNS).mapInArrow(run, RECORD)
@@ -124,7 +124,7 @@ def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
     """Response records of ``pages(page_id, url, html)``.  A null url or html is
     empty; rows that repeat url, page_id and html get equal identifiers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 2)):
             rows = []
             for page, url, body in zip(*(b.column(i).to_pylist() for i in range(3))):
                 payload = (body or "").encode("utf-8", "replace")
@@ -184,7 +184,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         name, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for b in batches:
-            for row in b.to_pylist():
+            for row in (r for part in slices(b, _COLUMNS.index("block")) for r in part.to_pylist()):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(pack(row))
                 n += 1
@@ -202,8 +202,7 @@ def read_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
             for file in b.column(0).to_pylist():
                 fs, path = opened(file)
                 with fs.open_input_stream(path, compression=None) as raw:
-                    stream = gzip.open(raw) if path.endswith(".gz") else pa.BufferedInputStream(raw, 1 << 16) \
-                        if not isinstance(fs, pafs.FileSystem) else raw
+                    stream = gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw)
                     rows, size = [], 0
                     for row in unpack(stream):
                         rows.append(row)
