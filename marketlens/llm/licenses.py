@@ -99,16 +99,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     # of n words there are at most n - 1 bigrams; repeats make the set smaller, so only the lower bound holds for words
     unit = (docs.select("doc_id", F.posexplode(units(F.col("text"))).alias("unit", "body"))
             .where(F.char_length("body") >= 2 * least + 1)
-            .select("doc_id", "unit", words(F.col("body")).alias("w")).where(F.size("w") - 1 >= least)
-            .select("doc_id", "unit", bigrams(F.col("w")).alias("grams"))
+            .select("doc_id", "unit", F.xxhash64("body").alias("body"), words(F.col("body")).alias("w")).where(F.size("w") - 1 >= least)
+            .select("doc_id", "unit", "body", bigrams(F.col("w")).alias("grams"))
             .where((F.size("grams") <= most) & F.arrays_overlap("grams", all_grams))
-            .select("doc_id", "unit", F.size("grams").alias("unit_size"), F.explode("grams").alias("gram")))
+            .select("doc_id", "unit", "body", F.size("grams").alias("unit_size"), F.explode("grams").alias("gram")))
     # the templates are a parameter of a few dozen texts, not data
     by_gram = F.broadcast(listed.select("template", "license", "template_size", F.explode("grams").alias("gram")))
     fits = (F.col("unit_size") >= t / (2 - t) * F.col("template_size")) & (
         F.col("unit_size") <= (2 - t) / t * F.col("template_size"))
-    pairs = (unit.join(by_gram, "gram").where(fits).groupBy("doc_id", "unit", "template", "license", "unit_size", "template_size")
-             .agg(F.count(F.lit(1)).alias("shared"))
+    pairs = (unit.join(by_gram, "gram").where(fits).groupBy("doc_id", "unit", "body", "template", "license", "unit_size", "template_size")
+             .agg(F.countDistinct("gram").alias("shared"))        # a repeated row's grams count once
              .where(F.col("shared") * 200 >= percent * (F.col("unit_size") + F.col("template_size"))))
     dice = F.col("shared") * 2 / (F.col("unit_size") + F.col("template_size"))
     best = F.struct(dice.alias("dice"), (-F.col("template")).alias("t"), (-F.col("unit")).alias("u"),

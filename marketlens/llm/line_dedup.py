@@ -52,10 +52,14 @@ class LineRuns:
         return self.spark.table(name)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
+        """Merge joins of runs on their common bucketing; a run has a key once."""
+        rows = runs[0].select("key", "n")
         for r in runs[1:]:
-            rows = rows.union(r)
-        return rows.groupBy("key").agg(F.sum("n").alias("n"))
+            other = r.select(F.col("key").alias("k2"), F.col("n").alias("n2"))
+            rows = rows.join(other, rows["key"] == other["k2"], "full_outer").select(
+                F.coalesce("key", "k2").alias("key"),
+                (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
+        return rows
 
     def add(self, batch: DataFrame) -> None:
         """``batch(key, n)``: a new batch's keys and in how many of its documents."""
@@ -73,19 +77,19 @@ class LineRuns:
         self.levels[level] = []
         done = merged.where(F.col("n") >= self.limit)
         if self.settled:
-            done = done.union(self.settled[0])
+            done = done.join(self.settled[0].select("key"), "key", "left_anti").union(self.settled[0].select("key", "n"))
         self.settled = [self._run(done)]
         self._place(self._run(merged.where(F.col("n") < self.limit)), level + 1)
 
     def frequent(self) -> DataFrame:
         """Keys found in at least ``limit`` documents, as a written table."""
         rest = [r for level in self.levels for r in level]
-        out = [s.select("key") for s in self.settled]
+        parts = [s.select("key") for s in self.settled]
         if rest:
-            out.append(self._merged(rest).where(F.col("n") >= self.limit).select("key"))
-        keys = out[0]
-        for o in out[1:]:
-            keys = keys.union(o)
+            parts.append(self._merged(rest).where(F.col("n") >= self.limit).select("key"))
+        keys = written(parts[0], "frequent")
+        for p in parts[1:]:
+            keys = keys.union(written(p, "frequent"))
         keys = written(keys.distinct(), "frequent")
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")

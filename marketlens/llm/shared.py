@@ -165,36 +165,68 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return out if how in ("left_semi", "left_anti") else out.drop("_right_key")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one partition as stars with the same components."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    def stars():
+        found = [(x, find(x)) for x in list(up)]
+        pairs = [(x, r) for x, r in found if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()),
+                                           pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > 1_000_000:                          # bounded: what is known so far goes out as it is
+            yield stars()
+            up.clear()
+    yield stars()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, component)``
     per node that has an edge, the component being its smallest node.
 
-    Alternating large-star and small-star rounds; a hub's neighbours are never
-    gathered, only their minimum, and each round is a written table."""
+    Rounds of large-star and small-star, each after a contraction of every
+    partition's own edges.  A hub's neighbours are never gathered, only their
+    minimum; each round is a written table."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         # large: each node's neighbours above it move to its smallest neighbour
         # small: each node and its neighbours below move to the smallest of them
-        near = (e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large
-                else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        near = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         j = skew_join(near, low, "a")
         if large:
-            out = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-                low.select("a", F.col("m").alias("b")))
-        return out.where(F.col("a") != F.col("b")).distinct()
-
-    now = written(edges.where(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
-        # done once each component is a star: no node hangs from two roots, or from a node that hangs itself
-        twice = now.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-        below = now.join(now.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left_semi")
-        if twice.union(below.select("a")).isEmpty():
-            break
-        now = written(star(star(now, True), False), "edges")
+            return j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return j.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                          F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where(
+            F.col("a") != F.col("b")).distinct()
+
+    def contracted(e: DataFrame) -> DataFrame:
+        return written(e.select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
+
+    now = contracted(edges)
+    for turn in range(max_rounds):
+        if turn != 1:                                    # one round is rarely enough: the first look is before, the next after two
+            # done once each component is a star: no node hangs from two roots, or from a node that hangs itself
+            ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs")),
+                                                F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs")))).alias("e"))
+            if ends.groupBy("e.node").agg(F.sum("e.hangs").alias("up"), F.min("e.hangs").alias("root")).where(
+                    "up > 1 or (up > 0 and root = 0)").isEmpty():
+                break
+        now = contracted(star(star(now, True), False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()

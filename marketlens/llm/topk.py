@@ -100,7 +100,7 @@ class BallTree:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = [c.flatten().to_numpy() for c in column.chunks]
-    return np.concatenate(flat).reshape(-1, dim) if flat else np.empty((0, dim))
+    return np.concatenate([np.empty(0), *flat]).reshape(len(column), dim)
 
 
 def _search(k: int):
