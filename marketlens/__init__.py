@@ -8,8 +8,6 @@ Layers (each a sub-package):
 * ``plans``     – the six views, the business questions, the star model and
                   the measures, each ``f(t, **opts) -> DataFrame``
 * ``oracle``    – independent DuckDB SQL for every registered query
-* ``streaming`` – intentionally empty: every statement of the source pipeline
-                  is a batch query
 
 ``t`` is always the dict of canonical tables returned by
 :func:`marketlens.sources.load`.

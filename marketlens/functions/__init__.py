@@ -1,6 +1,6 @@
 """Column-level helpers (built-in Spark expressions only, no Python UDFs)."""
 
-from marketlens.functions.columns import (at_least_one, avg_days, avg_of_avgs, fixed, bucketize,  # noqa: F401
+from marketlens.functions.columns import (at_least_one, avg_days, fixed, bucketize,  # noqa: F401
                                           day_diff, grade, int_div,
-                                          normalize_text, pct, ratio, round6,
+                                          normalize_text, pct, ratio,
                                           safe_ratio, status_label)

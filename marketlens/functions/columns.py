@@ -66,9 +66,6 @@ def avg_days(total, count, int_avg: bool = True) -> Column:
     return int_div(total, count) if int_avg else ratio(total, count)
 
 
-def round6(x) -> Column:
-    """Round a double to 6 places (presentation of fractional averages)."""
-    return F.round(_c(x), 6)
 
 
 AVG_SCALE = 9
@@ -80,10 +77,6 @@ def fixed(x) -> Column:
     return _c(x).cast(f"decimal(38,{AVG_SCALE})")
 
 
-def avg_of_avgs(x) -> tuple[Column, Column]:
-    """(sum, count) aggregates for an average of per-group averages; finish
-    with ``ratio(sum, count)``."""
-    return F.sum(fixed(x)), F.count(_c(x))
 
 
 def bucketize(days, buckets=DAY_BUCKETS, default: str = OTHER_BUCKET,

@@ -11,14 +11,12 @@ through one task.
                         WindowGroupLimit before the shuffle, so each group
                         sends at most n rows per map partition.
 * ``rank_by``         – rank / dense rank of every row.  Ranks the distinct
-                        values in equal-depth bins (bounds from
-                        ``approxQuantile``, one offset per bin), then joins
-                        back: no global single-partition window over the data.
+                        values in range partitions with one offset each, then
+                        joins back: no global single-partition window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,60 +64,43 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: OrderSpec, n: in
 
 
 def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bool = True,
-            rank_col: str = "rank", rows_per_bin: int = 1_000_000) -> DataFrame:
-    """O6 over all rows: SQL ``dense_rank`` or ``rank`` of non-null numeric
-    ``value``, without a global single-partition window.
+            rank_col: str = "rank", bins: int | None = None) -> DataFrame:
+    """O6 over all rows: SQL ``dense_rank`` or ``rank`` of non-null ``value``,
+    without a global single-partition window; one path for every size.
 
     1. distinct values with their row counts (partial aggregation: a value
        holding a third of all rows is still one row here);
-    2. if there are more than ``rows_per_bin`` distinct values: equal-depth
-       bins from ``approxQuantile`` (``bins - 1`` bounds on the driver) and
-       one offset per bin (distinct values, or rows for ``rank``, in lower
-       bins) -- ``bins`` rows, broadcast;
-    3. inside each bin: ``row_number`` (dense rank) or a running row count
-       (rank) over the values, plus the bin offset;
+    2. range partitioning of the values, each with its partition's number,
+       written once to the shared folder (the bounds are drawn once);
+    3. inside each partition ``row_number`` (dense rank) or a running row count
+       (rank), plus the sum over the partitions before it: one row each;
     4. join back on the value.
     ``value`` must be deterministic (computed from exact sums) for the join
-    back; rows with a null value get a null rank.  A full ``row_number``
-    over all rows is not offered: the queries only need it for a top-n cut
-    (``top_n_ranked``).
+    back; rows with a null value get a null rank.  ``bins`` is the number of
+    range partitions, by default the session's shuffle partitions.
     """
     if method not in ("dense_rank", "rank"):
         raise ValueError(method)
-    key = F.col(value) if ascending else -F.col(value)
-    vals = (df.where(F.col(value).isNotNull())
-            .groupBy(key.cast("double").alias("_k"), F.col(value).alias("_v"))
+    bins = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("_v").asc() if ascending else F.col("_v").desc()
+    vals = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
-    n = vals.count()
-    bins = max(1, math.ceil(n / rows_per_bin))
-    if bins > 1:
-        # several jobs read the distinct values from here on: cut the lineage
-        vals = materialize(vals)
+    placed = materialize(vals.repartitionByRange(bins, order).withColumn("_bin", F.spark_partition_id()))
     weight = F.lit(1) if method == "dense_rank" else F.col("_c")
-    upto = Window.unboundedPreceding, Window.currentRow
-    if bins == 1:
-        binned = vals.withColumn("_bin", F.lit(0)).withColumn("_off", F.lit(0).cast("bigint"))
-    else:
-        probs = [i / bins for i in range(1, bins)]
-        bounds = sorted(set(vals.approxQuantile("_k", probs, 1.0 / (10 * bins))))
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        binned = vals.withColumn("_bin", F.size(F.filter(arr, lambda b: b < F.col("_k"))))
-        counts = binned.groupBy("_bin").agg(F.sum(weight).alias("_n"))
-        offsets = counts.withColumn(
-            "_off", F.coalesce(F.sum("_n").over(
-                Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0))).select("_bin", "_off")
-        binned = binned.join(F.broadcast(offsets), "_bin")
-    within = Window.partitionBy("_bin").orderBy("_k")
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_bin").agg(F.sum(weight).alias("_n")).select(
+        "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_bin").orderBy(order)
     if method == "dense_rank":
         pos = F.row_number().over(within)
     else:  # rows with a strictly better value, plus one
-        pos = F.sum("_c").over(within.rowsBetween(*upto)) - F.col("_c") + 1
-    ranked = binned.select(F.col("_v"), (F.col("_off") + pos).cast("int").alias(rank_col))
+        pos = F.sum("_c").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c") + 1
+    ranked = placed.withColumn("_pos", pos).join(offsets, "_bin").select(
+        "_v", (F.col("_off") + F.col("_pos")).cast("int").alias(rank_col))
     return df.join(ranked, df[value] == ranked["_v"], "left").drop("_v")
 
 
 def dense_rank_all(df: DataFrame, value: str, ascending: bool = True,
-                   rank_col: str = "rank", rows_per_bin: int = 1_000_000) -> DataFrame:
+                   rank_col: str = "rank", bins: int | None = None) -> DataFrame:
     """Dense rank of every row (``rank_by`` with ``method="dense_rank"``)."""
-    return rank_by(df, value, "dense_rank", ascending, rank_col, rows_per_bin)
+    return rank_by(df, value, "dense_rank", ascending, rank_col, bins)

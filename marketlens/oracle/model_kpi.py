@@ -263,5 +263,5 @@ for _key, _col in (("sales_by_purchase_month", "order_purchase_timestamp"),
                    ("sales_by_approval_month", "order_approved_at")):
     _q(_key, f"""
 SELECT c.year_month, CAST(sum(s.price) AS DECIMAL(38,2)) AS sales
-FROM m_sales s JOIN m_calendar c ON CAST(s.{_col} AS DATE) = c.date
-GROUP BY 1 ORDER BY 1""", ["m_sales", "m_calendar"])
+FROM m_sales s LEFT JOIN m_calendar c ON CAST(s.{_col} AS DATE) = c.date
+GROUP BY 1 ORDER BY 1 NULLS FIRST""", ["m_sales", "m_calendar"])

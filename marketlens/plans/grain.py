@@ -63,6 +63,17 @@ def fanout_weights(t: dict[str, DataFrame], payments: bool = True,
     return o.select("order_id", w.alias("w"))
 
 
+def products_translated(t: dict[str, DataFrame]) -> DataFrame:
+    """Products with their translated category.  The translation is joined
+    here, at product grain: the item table is never dealt out by its category,
+    a key of a few dozen values."""
+    p = t["products"].select(F.col("product_id").alias("p_product_id"), "product_category_name")
+    tr = t["translation"].select(F.col("product_category_name").alias("tr_name"),
+                                 F.col("product_category_name_english").alias("category"))
+    return p.join(tr, p["product_category_name"] == tr["tr_name"], "left").select(
+        "p_product_id", "category")
+
+
 def items_enriched(t: dict[str, DataFrame], product: bool = True,
                    seller: bool = True) -> DataFrame:
     """Item grain with product, translated category and seller attributes.
@@ -79,12 +90,8 @@ def items_enriched(t: dict[str, DataFrame], product: bool = True,
             oi["price"], oi["freight_value"], oi["shipping_limit_date"].alias("ship_limit_at"),
             oi["seller_id"].alias("item_seller_id")]
     if product:
-        p = t["products"].select(F.col("product_id").alias("p_product_id"),
-                                 "product_category_name")
-        tr = t["translation"].select(F.col("product_category_name").alias("tr_name"),
-                                     F.col("product_category_name_english").alias("category"))
-        j = (j.join(p, oi["product_id"] == p["p_product_id"], "left")
-             .join(tr, F.col("product_category_name") == tr["tr_name"], "left"))
+        p = products_translated(t)
+        j = j.join(p, oi["product_id"] == p["p_product_id"], "left")
         cols += [F.col("p_product_id").alias("product_id"), F.col("category")]
     if seller:
         s = t["sellers"].select(F.col("seller_id").alias("s_seller_id"),

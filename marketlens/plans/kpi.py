@@ -252,7 +252,8 @@ def sales_yoy(t: T) -> DataFrame:
 
 def sales_by_role(t: T, role: str = "purchase") -> DataFrame:
     """Monthly sales through the active (purchase) or an inactive
-    (delivered, approved) calendar relation."""
+    (delivered, approved) calendar relation.  Sales without a calendar day are
+    the blank (null) month, so the months add up to all sales."""
     j = with_calendar(t, _sales_rows(t), role)
     return j.groupBy("year_month").agg(F.sum("price").cast(MONEY_SUM).alias("sales")) \
         .orderBy("year_month")

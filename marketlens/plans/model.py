@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.plans.grain import products_translated
 from marketlens.functions.columns import (at_least_one, normalize_text, ratio,
                                           status_label)
 
@@ -132,11 +133,13 @@ ROLE_COLUMNS = {"purchase": "order_purchase_timestamp",
 def with_calendar(t: T, df: DataFrame, role: str = "purchase") -> DataFrame:
     """Attach calendar attributes through the active (purchase) or an
     inactive (delivered, approved) date relation; ``df`` must carry the
-    three order date columns.  The calendar has one row per day, so the
-    join is one-to-one per row and the calendar side is bounded by its span.
+    three order date columns.  Rows keep their place in the relation: one
+    without a calendar day (no date, or outside the calendar's span) gets
+    null attributes, the blank member, and is never dropped.  The calendar
+    has one row per day, so the join is one-to-one per row.
     """
     cal = calendar(t)
-    return df.join(cal, F.to_date(df[ROLE_COLUMNS[role]]) == cal["date"], "inner")
+    return df.join(cal, F.to_date(df[ROLE_COLUMNS[role]]) == cal["date"], "left")
 
 
 def status_labels(t: T) -> DataFrame:
@@ -159,12 +162,10 @@ def null_report(t: T) -> DataFrame:
     """Nulls of seller, category and review score over the order-detail
     view, counted factorised (per-order counts times the fan-out)."""
     s = t["sellers"].select(F.col("seller_id").alias("_sid"))
-    p = t["products"].select(F.col("product_id").alias("_pid"), "product_category_name")
-    tr = t["translation"].select(F.col("product_category_name").alias("_tn"),
-                                 F.col("product_category_name_english").alias("_cat"))
+    p = products_translated(t).select(F.col("p_product_id").alias("_pid"),
+                                      F.col("category").alias("_cat"))
     oi = t["order_item"]
     items = (oi.join(p, oi["product_id"] == p["_pid"], "left")
-             .join(tr, F.col("product_category_name") == tr["_tn"], "left")
              .join(s, oi["seller_id"] == s["_sid"], "left")
              .groupBy(oi["order_id"]).agg(
                  F.count(F.lit(1)).alias("ni"),

@@ -54,14 +54,15 @@ class SetupResult:
 
 
 def setup(spark: SparkSession, source: str, *, fmt: str = "parquet-test",
-          database: str = "marketplace", buckets: int = 64,
+          database: str = "marketplace", buckets: int | None = None,
           stage: bool = True) -> SetupResult:
     """Entry point A: database -> load -> type repair -> key checks -> layout.
 
     ``fmt`` is ``"csv"`` (the nine exported CSV files, typed with quarantine)
     or ``"parquet-test"`` (the TPC-H-like test tables through the adapter).
-    With ``stage`` the tables are written once with their layouts (bucketed
-    order grain, behind the skew guard) and the staged tables are returned.
+    With ``stage`` the tables are written once with their layouts and the
+    staged tables are returned; ``buckets`` buckets the order grain (about its
+    size divided by 256 MB), without it those tables are sorted by range.
     """
     create_database(spark, database)
     if fmt == "csv":

@@ -151,7 +151,8 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     oi = t["order_item"].select("seller_id", "order_id", "order_item_id")
     oc = orders_with_customer(t, "left").select("order_id", "customer_id",
                                                 "customer_city", "customer_state")
-    i = oi.join(s.select("seller_id"), "seller_id", "inner").join(oc, "order_id", "inner")
+    # unknown sellers leave with the join of the place below
+    i = oi.join(oc, "order_id", "inner")
     so = i.groupBy("seller_id", "order_id", "customer_id", "customer_city",
                    "customer_state").agg(F.count(F.lit(1)).alias("k"))
     j = so.join(pay, "order_id", "left").join(rev, "order_id", "left")
@@ -163,7 +164,9 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
         F.countDistinct("customer_state").alias("state_count"),
         F.sum(F.col("pay_sum") * k).alias("total_sales"),
         F.sum(F.col("score_cnt") * k).cast("bigint").alias("review_total"),
-        F.sum(fixed("avg_score") * k).alias("_rs"),
+        # a score's average has one digit before the point: times a bigint it
+        # stays within decimal(38) without losing any of the nine after it
+        F.sum(F.col("avg_score").cast("decimal(12,9)") * k).alias("_rs"),
         F.sum(F.when(F.col("avg_score").isNotNull(), k)).alias("_rn"),
         F.sum("k").cast("bigint").alias("_items"))
     if clean:

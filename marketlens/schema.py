@@ -92,6 +92,3 @@ FOREIGN_KEYS: dict[str, tuple[str, str, str, str]] = {
     "geolocation_zip": ("geolocation", "geolocation_zip_code_prefix",
                         "zip", "geolocation_zip_code_prefix"),
 }
-
-# tables whose rows hang off one order: co-locate them on order_id
-ORDER_GRAIN = ("orders", "order_item", "order_payments", "order_reviews")

@@ -23,6 +23,9 @@ RUNTIME_CONF = {
     # report that order, so sort-merge joins on the key skip their sorts
     # (Spark only claims the order when each bucket is a single file)
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    # a union of bucketed scans must not pass for partitioned by the bucket
+    # key: an aggregate over it would skip its exchange and keep split groups
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -72,23 +75,21 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Apply the runtime settings to a session built elsewhere (the driver)."""
+    """Apply the runtime settings to a session built elsewhere (the driver).
+    They are all runtime settings; a failure to set one is an error."""
     for k, v in RUNTIME_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: keep the platform's
-            pass
+        spark.conf.set(k, v)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where a session
+    has none, a folder in its warehouse, which is shared too."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return ensure_checkpoint_dir(spark, f"{warehouse}/_checkpoints")
 
 
 def materialize(df):
-    """Cut lineage of a frame that several jobs read: reliable checkpoint
-    into the shared folder named by ``spark.checkpoint.dir``.  Without a
-    configured folder the frame stays lazy (recomputed, never written to a
-    machine-local temporary folder)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cut lineage of a frame that several jobs read: a reliable checkpoint
+    in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,7 +1,7 @@
 """Sources and sinks: test-table adapter, CSV ingest, staged layouts."""
 
 from marketlens.sources.ingest import (create_database, ingest_csv, load,  # noqa: F401
-                                       load_canonical, load_csv, retype,
+                                       load_csv, retype,
                                        with_zip, zip_dimension)
 from marketlens.sources.layout import (LAYOUTS, export_model, stage_tables,  # noqa: F401
                                        write_clustered)

@@ -19,25 +19,31 @@ from marketlens.schema import CSV_NAMES, SCHEMAS
 from marketlens.sources.adapter import adapt, read_raw
 
 
-def _as_strings(schema: StructType) -> StructType:
-    return StructType([StructField(f.name, StringType(), True) for f in schema.fields])
+CORRUPT = "_corrupt_record"
 
 
 def ingest_csv(spark: SparkSession, path: str, table: str,
-               names: dict[str, str] | None = None) -> DataFrame:
-    """Read one CSV export as all-string columns.
+               names: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Read one CSV export as all-string columns (I1), bound by header name.
 
     ``names`` maps a table to its file name (without ``.csv``) when the
-    export does not use the table names.  ``multiLine`` keeps quoted
-    newlines (review texts) inside one record; ``mode=PERMISSIVE`` keeps
-    short rows with nulls.
+    export does not use the table names.  Columns may come in any order, and
+    further ones are left out; a missing one raises.  A row with too few or too
+    many fields keeps its text in ``_corrupt_record``.  ``multi_line`` allows
+    quoted newlines inside a record; files are then read whole, one task each.
     """
-    schema = _as_strings(SCHEMAS[table])
-    file = (names or {}).get(table, CSV_NAMES[table])
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE")
-            .csv(f"{path}/{file}.csv"))
+    file = f"{path}/{(names or {}).get(table, CSV_NAMES[table])}.csv"
+    reader = spark.read.option("header", True).option("escape", '"')
+    header = reader.csv(file).columns
+    wanted = [f.name for f in SCHEMAS[table].fields]
+    missing = [c for c in wanted if c not in header]
+    if missing:
+        raise ValueError(f"{file} has no column {', '.join(missing)}")
+    schema = StructType([StructField(c, StringType(), True) for c in [*header, CORRUPT]])
+    return (reader.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(file)
+            # Spark refuses a scan of the corrupt text alone, so it comes with a column (the condition always holds)
+            .select(*wanted, F.when(F.length(F.concat_ws("", wanted[0])) >= 0, F.col(CORRUPT)).alias(CORRUPT)))
 
 
 def _typed(col: str, dtype) -> F.Column:
@@ -51,12 +57,14 @@ def retype(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Cast string columns to ``schema`` (I2) -> (good rows, quarantined rows).
 
     A row is quarantined when any non-null, non-blank source value fails to
-    convert.  Both outputs are lazy and share one scan when cached upstream.
+    convert, or when it had too few or too many fields.  Both outputs are lazy and share one scan when cached upstream.
     """
     casts = {f.name: _typed(f.name, f.dataType) for f in schema.fields}
     bad_flags = [
         (F.col(f.name).isNotNull() & (F.trim(F.col(f.name)) != "") & casts[f.name].isNull())
         for f in schema.fields if not isinstance(f.dataType, StringType)]
+    if CORRUPT in df.columns:
+        bad_flags.append(F.col(CORRUPT).isNotNull())
     bad = reduce(lambda a, b: a | b, bad_flags, F.lit(False))
     flagged = df.withColumn("_bad", bad)
     good = flagged.where(~F.col("_bad")).select(
@@ -65,12 +73,14 @@ def retype(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
     return good, quarantine
 
 
-def load_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None
-             ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """All nine tables from a CSV export -> (canonical tables, quarantines)."""
+def load_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None,
+             multi_line: frozenset[str] = frozenset()) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """All nine tables from a CSV export -> (canonical tables, quarantines).
+    ``multi_line`` names the tables whose files hold quoted newlines."""
     good, bad = {}, {}
     for table, schema in SCHEMAS.items():
-        good[table], bad[table] = retype(ingest_csv(spark, path, table, names), schema)
+        good[table], bad[table] = retype(
+            ingest_csv(spark, path, table, names, table in multi_line), schema)
     return good, bad
 
 
@@ -79,11 +89,6 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return adapt(read_raw(spark, sf_dir))
 
 
-def load_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Canonical tables previously staged as Parquet folders under ``path``."""
-    return {t: spark.read.parquet(f"{path}/{t}") for t in SCHEMAS}
-
-
 def create_database(spark: SparkSession, name: str, drop: bool = False) -> None:
     """Drop (only when asked), create and select a database."""
     if drop and spark.catalog.databaseExists(name):

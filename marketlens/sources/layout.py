@@ -81,43 +81,26 @@ def write_clustered(df: DataFrame, path: str | None = None, *, table: str | None
         writer.save(path)
 
 
-def hottest_key_share(df: DataFrame, key: str) -> float:
-    """Largest share of ``df``'s rows held by one ``key`` value (one
-    aggregate job; partial aggregation keeps a hot key cheap)."""
-    r = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-         .agg(F.max("n").alias("top"), F.sum("n").alias("total")).first())
-    return 0.0 if not r or not r["total"] else r["top"] / r["total"]
-
-
 def stage_tables(spark: SparkSession, t: dict[str, DataFrame], database: str,
-                 buckets: int, root: str | None = None,
-                 skew_guard: bool = True) -> dict[str, DataFrame]:
+                 buckets: int | None, root: str | None = None) -> dict[str, DataFrame]:
     """Write the canonical tables once with their layouts; return readers.
 
-    Queries over the staged tables join the order-grain tables bucket to
-    bucket (no exchange) and read only the columns they project.
-
-    A bucket is read by one task, and AQE cannot split a bucketed scan.  So
-    with ``skew_guard`` the order-grain tables are bucketed only if no single
-    order holds more rows than an average bucket; otherwise all four are
-    written unbucketed (range-sorted), and joins shuffle, where AQE's skew
-    handling can split the hot partition.
+    With ``buckets``, queries over the staged tables join the order-grain
+    tables bucket to bucket (no exchange); without, those tables are sorted by
+    range only and their joins shuffle, where AQE can split a hot order.  That
+    is the caller's choice, never the data's.  Files of sorted tables follow
+    the session's shuffle partitions.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    bucketed = True
-    if skew_guard:
-        for name in ("order_item", "order_payments", "order_reviews"):
-            if name in t and hottest_key_share(t[name], "order_id") > 1.0 / buckets:
-                bucketed = False
-                break
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = {}
     for name, df in t.items():
         lay = LAYOUTS.get(name, Layout())
-        if lay.bucket_by and not bucketed:
+        if lay.bucket_by and not buckets:
             lay = Layout(partition_by=lay.partition_by, sort_by=lay.sort_by, bloom=lay.bloom)
         fq = f"`{database}`.`{name}`"
         write_clustered(df, f"{root}/{name}" if root else None, table=fq,
-                        layout=lay, buckets=buckets)
+                        layout=lay, buckets=buckets if lay.bucket_by else files)
         out[name] = spark.table(fq)
     return out
 
@@ -127,6 +110,3 @@ def export_model(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
-
-def purchase_month(col: str = "order_purchase_timestamp") -> F.Column:
-    return F.date_format(F.col(col), "yyyy-MM")

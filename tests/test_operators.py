@@ -60,12 +60,12 @@ def test_normalize_and_status(spark):
 def test_dense_rank_all_with_bins_matches_window(spark):
     vals = [(i, float((i * 37) % 101) / 3.0) for i in range(400)]
     df = spark.createDataFrame(vals, "k int, v double")
-    got = {r.k: r["rank"] for r in dense_rank_all(df, "v", rows_per_bin=10).collect()}
+    got = {r.k: r["rank"] for r in dense_rank_all(df, "v", bins=10).collect()}
     want = {r.k: r.r for r in df.select("k", F.dense_rank().over(Window.orderBy("v"))
                                         .alias("r")).collect()}
     assert got == want
     got_desc = {r.k: r["rank"] for r in
-                dense_rank_all(df, "v", ascending=False, rows_per_bin=7).collect()}
+                dense_rank_all(df, "v", ascending=False, bins=7).collect()}
     want_desc = {r.k: r.r for r in df.select("k", F.dense_rank().over(
         Window.orderBy(F.desc("v"))).alias("r")).collect()}
     assert got_desc == want_desc
@@ -109,7 +109,7 @@ def test_rank_by_matches_window(spark, method, fn, asc):
     # a hot value (0.0) holds a third of the rows
     vals = [(i, 0.0 if i % 3 == 0 else float((i * 37) % 101) / 3.0) for i in range(300)]
     df = spark.createDataFrame(vals, "k int, v double")
-    got = {r.k: r["rank"] for r in rank_by(df, "v", method, asc, rows_per_bin=9).collect()}
+    got = {r.k: r["rank"] for r in rank_by(df, "v", method, asc, bins=9).collect()}
     order = F.col("v") if asc else F.desc("v")
     want = {r.k: r.r for r in df.select("k", fn().over(Window.orderBy(order)).alias("r"))
             .collect()}

@@ -168,3 +168,36 @@ def test_period_growth_gaps_and_zero(spark):
     out = period_growth(df, ["year", "month"], "n").orderBy("year", "month").collect()
     assert [r.prev for r in out] == [None, 10, 0, 5]       # lag over rows, gaps kept
     assert [r.growth_pct for r in out] == [None, -100.0, None, 100.0]
+
+
+def test_months_of_any_role_add_up_to_all_sales(handmade):
+    from marketlens.plans import kpi
+    t, _ = handmade
+    total = kpi._sales_rows(t).agg(F.sum("price")).first()[0]
+    for role in ("purchase", "delivered", "approved"):
+        assert sum(r.sales for r in kpi.sales_by_role(t, role).collect() if r.sales is not None) == total
+
+
+def test_seller_review_average_keeps_all_digits(spark, handmade):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from marketlens.plans.views import seller_profile
+    t, _ = handmade
+    reviews = t["order_reviews"]
+    order = t["order_item"].select("order_id").first()[0]
+    seven = spark.range(7).select(*[
+        (F.lit(order) if c == "order_id" else (F.col("id") % 3 + 2) if c == "review_score" else F.lit(None))
+        .cast(reviews.schema[c].dataType).alias(c) for c in reviews.columns])
+    three = {**t, "order_reviews": reviews.where(F.col("order_id") != order).union(seven)}
+    scores = {}
+    for r in three["order_reviews"].where("review_score is not null").collect():
+        scores.setdefault(r.order_id, []).append(r.review_score)
+    known = {r.order_id for r in t["orders"].collect()}
+    want = {}
+    for r in t["order_item"].collect():
+        if r.order_id in scores and r.order_id in known:
+            s = scores[r.order_id]
+            mean = Decimal(sum(s) / len(s)).quantize(Decimal(10) ** -9, ROUND_HALF_UP)
+            want.setdefault(r.seller_id, []).append(mean)
+    got = {r.seller_id: r.avg_review for r in seller_profile(three).collect() if r.avg_review is not None}
+    assert got and got == {s: float(sum(want[s])) / len(want[s]) for s in got}

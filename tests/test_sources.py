@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marketlens.schema import SCHEMAS
@@ -33,7 +35,7 @@ def test_csv_multiline_field(spark):
     with open(os.path.join(d, "sellers.csv"), "w") as f:
         f.write('seller_id,seller_zip_code_prefix,seller_city,seller_state\n'
                 's1,01001,"sao\npaulo",SP\ns2,02002,rio,RJ\n')
-    good, _ = retype(ingest_csv(spark, d, "sellers"), SCHEMAS["sellers"])
+    good, _ = retype(ingest_csv(spark, d, "sellers", multi_line=True), SCHEMAS["sellers"])
     rows = {r.seller_id: r for r in good.collect()}
     assert rows["s1"].seller_city == "sao\npaulo" and rows["s1"].seller_zip_code_prefix == "01001"
 
@@ -104,15 +106,51 @@ def test_database_zip_dimension_and_export(spark, handmade):
     assert back.count() == t["customer"].count()
 
 
-def test_skew_guard_drops_bucketing_for_a_hot_order(spark, handmade):
-    from marketlens.sources.layout import hottest_key_share
+def test_layout_is_the_callers_choice(spark, handmade):
     t, _ = handmade
-    assert hottest_key_share(t["order_item"], "order_id") == 3 / 11
     hot = {**t, "order_item": t["order_item"].withColumn("order_id", F.lit("o1"))}
-    staged = stage_tables(spark, hot, database="test_stage_hot", buckets=4)
-    info = spark.sql("describe formatted test_stage_hot.order_item").collect()
-    assert not any(r.col_name == "Num Buckets" for r in info)
-    ok = stage_tables(spark, t, database="test_stage_ok", buckets=2)
-    info = spark.sql("describe formatted test_stage_ok.order_item").collect()
-    assert any(r.col_name == "Num Buckets" for r in info)
-    assert staged["order_item"].count() == ok["order_item"].count()
+    for buckets, has in ((4, True), (None, False)):
+        name = f"test_stage_{buckets}"
+        staged = stage_tables(spark, hot, database=name, buckets=buckets)
+        info = spark.sql(f"describe formatted {name}.order_item").collect()
+        assert any(r.col_name == "Num Buckets" for r in info) == has
+        assert staged["order_item"].count() == t["order_item"].count()
+
+
+def test_union_of_bucketed_tables_aggregates_by_key(spark, handmade):
+    t, _ = handmade
+    items = stage_tables(spark, t, database="test_stage_union", buckets=3)["order_item"]
+    got = items.union(items).groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == len({r.order_id for r in got}) and sum(r.n for r in got) == 2 * items.count()
+
+
+def _payments_csv(lines):
+    import os
+    d = tempfile.mkdtemp(prefix="run-csv-", dir="/tmp")
+    from marketlens.schema import CSV_NAMES
+    with open(os.path.join(d, CSV_NAMES["order_payments"] + ".csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    return d
+
+
+def test_csv_binds_by_header_and_quarantines_malformed_rows(spark):
+    from marketlens.schema import SCHEMAS
+    from marketlens.sources import ingest_csv, retype
+    names = [f.name for f in SCHEMAS["order_payments"].fields]
+    values = {"order_id": "o1", "payment_sequential": "1", "payment_type": "card",
+              "payment_installments": "2", "payment_value": "99.33"}
+    row = [values.get(n, "x") for n in names]
+    header = ["extra", *reversed(names)]
+    good_row = ["8.00", *reversed(row)]
+    d = _payments_csv([",".join(header), ",".join(good_row), ",".join(good_row[:-1]), ",".join([*good_row, "more"]),
+                       ",".join("zz" if h == "payment_value" else v for h, v in zip(header, good_row))])
+    good, bad = retype(ingest_csv(spark, d, "order_payments"), SCHEMAS["order_payments"])
+    assert [(r.order_id, str(r.payment_value)) for r in good.collect()] == [("o1", "99.33")]
+    assert bad.count() == 3
+    d = _payments_csv([",".join(names[:-1]), ",".join(row[:-1])])
+    with pytest.raises(ValueError, match=names[-1]):
+        ingest_csv(spark, d, "order_payments")
+    quoted = ['"a\nb"' if n == "payment_type" else v for n, v in zip(names, row)]
+    d = _payments_csv([",".join(names), ",".join(quoted)])
+    good, bad = retype(ingest_csv(spark, d, "order_payments", multi_line=True), SCHEMAS["order_payments"])
+    assert good.first().payment_type == "a\nb" and bad.count() == 0
