@@ -5,8 +5,9 @@ template are normalised alike (lower case, letters and digits only) and compared
 by ``2 |a & b| / (|a| + |b|)`` over their sets of word bigrams.  To reach a
 threshold t, a unit's set must have between ``t / (2 - t)`` and ``(2 - t) / t``
 times the template's size: units outside the bounds of all templates are cut
-before their bigrams are made, candidate templates outside a unit's bounds
-before the shared bigrams are counted.
+before their bigrams are made, as are units without a word that a match must
+hold; candidate templates outside a unit's bounds are cut before the shared
+bigrams are counted.
 """
 
 from __future__ import annotations
@@ -75,6 +76,22 @@ def units(text):
     return F.concat(F.split(text, "\n", -1), several)
 
 
+def anchors(sets: list[list[str]], percent: int) -> list[str]:
+    """Words of which every match of a template holds one.  A match shares at
+    least ``t / (2 - t)`` of the template's bigrams; more of them than a match
+    may miss hold an anchor.  Long words come first, as they are rare."""
+    out = set()
+    for grams in sets:
+        may_miss = len(grams) - -(-percent * len(grams) // (200 - percent))
+        held: set[str] = set()
+        for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+            if len(held) > may_miss:
+                break
+            held.update(g for g in grams if word in g.split(" "))
+            out.add(word)
+    return sorted(out)
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
     """One row per (doc_id, license) found: ``n_units`` (distinct unit places),
     and ``shared``, ``unit_size``, ``template_size`` and ``dice`` of the best
@@ -85,28 +102,30 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     reaches the threshold for templates of several licences counts for each.
     Rows that share a doc_id are counted together."""
     spark = docs.sparkSession
-    t = percent / 100
     listed = (spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)],
                                     "template int, license string, body string")
               .select("template", "license", bigrams(words(F.col("body"))).alias("grams"))
               .withColumn("template_size", F.size("grams")).where("template_size > 0"))
-    sizes = [r[0] for r in listed.select("template_size").collect()]            # one per template
-    if not sizes:
-        sizes = [1]
-    least, most = t / (2 - t) * min(sizes), (2 - t) / t * max(sizes)
-    all_grams = F.array(*[F.lit(g) for g in sorted(
-        r[0] for r in listed.select(F.explode("grams")).distinct().collect())]).cast("array<string>")
-    # of n words there are at most n - 1 bigrams; repeats make the set smaller, so only the lower bound holds for words
+    sets = [r[0] for r in listed.select("grams").collect()]            # one row per template, a parameter
+    known = sorted({g for grams in sets for g in grams})
+    least = -(-percent * min(map(len, sets), default=1) // (200 - percent))
+    most = (200 - percent) * max(map(len, sets), default=1) // percent
+    rare = anchors(sets, percent)
+    # Each step's value is bound once, as the element of an array of one: as columns, the optimiser would write the
+    # steps out anew in every filter over them.  Of n words there are at most n - 1 bigrams; repeats make the set
+    # smaller, so only the lower bound holds for words.
+    w = F.filter(F.transform(F.array("body"), words),
+                 lambda w: (F.size(w) - 1 >= least) & F.exists(w, lambda x: x.isin(rare)))
+    sized = F.transform(F.filter(F.transform(w, bigrams), lambda g: F.size(g) <= most), lambda g: F.struct(
+        F.size(g).alias("unit_size"), F.filter(g, lambda x: x.isin(known)).alias("grams")))
     unit = (docs.select("doc_id", F.posexplode(units(F.col("text"))).alias("unit", "body"))
             .where(F.char_length("body") >= 2 * least + 1)
-            .select("doc_id", "unit", F.xxhash64("body").alias("body"), words(F.col("body")).alias("w")).where(F.size("w") - 1 >= least)
-            .select("doc_id", "unit", "body", bigrams(F.col("w")).alias("grams"))
-            .where((F.size("grams") <= most) & F.arrays_overlap("grams", all_grams))
-            .select("doc_id", "unit", "body", F.size("grams").alias("unit_size"), F.explode("grams").alias("gram")))
+            .select("doc_id", "unit", F.xxhash64("body").alias("body"), F.explode(sized).alias("u"))
+            .select("doc_id", "unit", "body", "u.unit_size", F.explode("u.grams").alias("gram")))
     # the templates are a parameter of a few dozen texts, not data
     by_gram = F.broadcast(listed.select("template", "license", "template_size", F.explode("grams").alias("gram")))
-    fits = (F.col("unit_size") >= t / (2 - t) * F.col("template_size")) & (
-        F.col("unit_size") <= (2 - t) / t * F.col("template_size"))
+    fits = (F.col("unit_size") * (200 - percent) >= percent * F.col("template_size")) & (
+        F.col("unit_size") * percent <= (200 - percent) * F.col("template_size"))
     pairs = (unit.join(by_gram, "gram").where(fits).groupBy("doc_id", "unit", "body", "template", "license", "unit_size", "template_size")
              .agg(F.countDistinct("gram").alias("shared"))        # a repeated row's grams count once
              .where(F.col("shared") * 200 >= percent * (F.col("unit_size") + F.col("template_size"))))
