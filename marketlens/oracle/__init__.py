@@ -2,7 +2,7 @@
 
 The canonical tables are CTEs over the raw test tables built from the same
 adapter text as the Spark side; everything above them is written from the
-source definitions in plain join form.
+column definitions over per-order blocks.
 """
 
 from marketlens.oracle import model_kpi  # noqa: F401  (registers M and K)
