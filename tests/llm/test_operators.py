@@ -414,3 +414,17 @@ def test_exact_topk(spark):
 
 def test_sha_of_an_emptied_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("percent", [50, 67, 80, 95, 100])
+def test_no_licence_match_without_an_anchor_word(percent):
+    sets = []
+    for _, body in licenses.TEMPLATES:
+        w = body.lower().split()
+        sets.append(sorted({f"{a} {b}" for a, b in zip(w, w[1:])}))
+    sets.append(["a b"])
+    for grams in sets:
+        rare = set(licenses.anchors([grams], percent))
+        without = sum(not rare & set(g.split(" ")) for g in grams)
+        # all bigrams without an anchor, and nothing else: the best a text without one can reach
+        assert 200 * without < percent * (without + len(grams))
