@@ -211,6 +211,13 @@ def fastest_sellers_dense_rank(t: T, int_avg: bool = True) -> DataFrame:
                                                                  ASC("seller_id"))
 
 
+def fastest_sellers_dense_rank_top(t: T, n: int = 10, int_avg: bool = True) -> DataFrame:
+    """Q15 as a report: the first n sellers with their dense rank."""
+    g = _seller_delivery_days(t, int_avg)
+    return top_n_ranked(g, [ASC("avg_days")], [ASC("seller_id")], n, "dense_rank") \
+        .orderBy("rank", ASC("seller_id"))
+
+
 # ------------------------------------------------- 3.4 logistics
 def delivery_days_by_state(t: T, int_avg: bool = True) -> DataFrame:
     """Q16: average over zones of the zone view's average days, per state."""

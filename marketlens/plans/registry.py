@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[T], DataFrame]] = {
     "fastest_sellers_row_number": A.fastest_sellers_row_number,
     "fastest_sellers_row_number_exact": partial(A.fastest_sellers_row_number, int_avg=False),
     "fastest_sellers_dense_rank": A.fastest_sellers_dense_rank,
+    "fastest_sellers_dense_rank_top": A.fastest_sellers_dense_rank_top,
     "fastest_sellers_dense_rank_exact": partial(A.fastest_sellers_dense_rank, int_avg=False),
     "delivery_days_by_state": A.delivery_days_by_state,
     "delivery_days_by_state_exact": partial(A.delivery_days_by_state, int_avg=False),
