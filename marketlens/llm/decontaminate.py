@@ -5,8 +5,9 @@ with other numbers or names has the same template.  Windows of template words
 are hash-joined between documents and benchmark items; slot values of matching
 windows are then compared: along one alignment equal slots of the item must be
 equal in the document and different ones different, as in a re-parameterised
-question.  An item is found where consistent alignments cover enough of its
-words.
+question.  A window that is mostly placeholders is compared by its words and
+slot values as they are.  An item is found where consistent alignments cover
+enough of its words.
 
 A filter of fixed size over the benchmark's windows lets few other document
 windows through to the exact join; nothing else is broadcast by hand.
@@ -39,6 +40,7 @@ mph kph byte bytes kb mb gb tb""".split()
 _WORD, _NUMBER, _UNIT, _NAME = range(4)
 _EDGE = ".,;:!?\"'()[]{}<>“”‘’«»…*_#|-–—$€£¥"
 _FACTORS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_EXACT = np.uint64(0x9E3779B97F4A7C15)                   # apart from the template of the same words
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
 
 
@@ -98,19 +100,21 @@ def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, n
     return codes, kind != _WORD, value
 
 
-def windows(codes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of ``size`` whose words are not mostly
-    placeholders."""
-    if len(codes) < size:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = len(codes) - size + 1
+def windows(codes: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the window of ``size`` from each word on.  A window that is mostly
+    placeholders says little by its template: its hash holds the slot values too."""
+    n = max(len(codes) - size + 1, 0)
     total = codes[:n] * _FACTORS[0]
     filled = slot[:n].astype(np.int64)
     for i in range(1, size):
         total = total + codes[i:n + i] * _FACTORS[i]
         filled = filled + slot[i:n + i]
-    at = np.flatnonzero(2 * filled <= size)
-    return at, mix(total[at] + np.uint64(size)).view(np.int64)
+    exact = np.flatnonzero(2 * filled > size)
+    if len(exact):
+        total[exact] = _EXACT
+        for i in range(size):
+            total[exact] += value[exact + i] * _FACTORS[i]
+    return mix(total + np.uint64(size)).view(np.int64)
 
 
 def _slots(slot: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
@@ -128,8 +132,8 @@ def item_windows(benchmark: DataFrame, size: int, least_words: int) -> DataFrame
                 k = min(size, len(codes))
                 if item is None or k < least_words:
                     continue
-                for at, h in zip(*windows(codes, slot, k)):
-                    for c, v in (("hash", int(h)), ("item_id", item), ("at", int(at)), ("size", k),
+                for at, h in enumerate(windows(codes, slot, value, k)):
+                    for c, v in (("hash", int(h)), ("item_id", item), ("at", at), ("size", k),
                                  ("words", len(codes)), ("slots", _slots(slot, value, at, k))):
                         out[c].append(v)
         if out:
@@ -200,9 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least_cov
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes, slot, value = template(text, words)
                 for k in sizes:
-                    at, h = windows(codes, slot, k)
-                    keep = may_hold(bits.value, h)
-                    for p, x in zip(at[keep].tolist(), h[keep].tolist()):
+                    h = windows(codes, slot, value, k)
+                    at = np.flatnonzero(may_hold(bits.value, h))
+                    for p, x in zip(at.tolist(), h[at].tolist()):
                         ids.append(doc)
                         pos.append(p)
                         hashes.append(x)

@@ -331,6 +331,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def _covers(spark, items, texts):
+    """Cover by (doc, item) where document i is ``texts[i]`` within other words."""
+    docs = docs_of(spark, [(i, f"Some words before it.\n{t}\nand other words after") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["cover"] for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_decontamination_of_items_dense_in_numbers(spark):
+    items = ["Alice Smith paid 3 dollars 20 cents", "Convert 5 feet 11 inches to cm", "Find the next term: 2 3 5 8 13 21 34",
+             "Add 2 hours 45 minutes 10 seconds and 3 hours 20 minutes 55 seconds."]
+    other = ["Add 7 hours 5 minutes 1 seconds or 9 days 2 minutes 5 seconds.", "12 13 14 15 16 17 18 19 20 21 22 23"]
+    assert _covers(spark, items, items + other) == {(i, i): 1.0 for i in range(4)}
+
+
 # --------------------------------------------------------- 8 licences
 
 def test_license_scan(spark):
