@@ -5,7 +5,9 @@ with other numbers or names has the same template.  Windows of template words
 are hash-joined between documents and benchmark items; slot values of matching
 windows are then compared: along one alignment equal slots of the item must be
 equal in the document and different ones different, as in a re-parameterised
-question.  A window that is mostly placeholders is compared by its words and
+question.  Beside this form each text has a plain one, whose names are words
+like others, for copies in other letter case or without punctuation and for
+items that are names throughout.  A window that is mostly placeholders is compared by its words and
 slot values as they are.  An item is found where consistent alignments cover
 enough of its words.
 
@@ -79,25 +81,36 @@ class _Words(dict):
         return self.hashes[at], self.flags[at]
 
 
-def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, is placeholder, slot value) of a text's template.  A name is a
-    title-case word that doesn't begin a sentence; neighbouring names are one
-    placeholder.  Words of punctuation alone are left out."""
-    parts = (text or "").split()
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64)
-    h, f = words.rows(parts)
+Form = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+_NAMES, _PLAIN = range(2)
+
+
+def forms(text: str | None, words: _Words) -> tuple[Form, Form]:
+    """The two forms of a text, each (codes, is placeholder, slot value, first
+    word).  In the plain form names are words like others, so neither letter case
+    nor sentence marks matter.  In the other, a name is a title-case word that
+    doesn't begin a sentence, and neighbouring names are one placeholder.  Words
+    of punctuation alone are left out."""
+    h, f = words.rows((text or "").split())
     stays = f[:, 3] == 0
-    begins = np.r_[True, f[:-1, 2] == 1][stays]
+    begins = np.r_[True, f[:-1, 2] == 1][:len(f)][stays]
     h, f = h[stays], f[stays]
-    kind = np.where((f[:, 1] == 1) & ~begins, _NAME, f[:, 0])
-    name = kind == _NAME
-    first = ~(name & np.r_[False, name[:-1]]) if len(name) else name
-    at = np.flatnonzero(first)
-    value = np.add.reduceat(h, at) if len(at) else h
-    kind = kind[at]
-    codes = np.where(kind == _WORD, value, kind.astype(np.uint64))
-    return codes, kind != _WORD, value
+    kind = f[:, 0]
+    every = np.arange(len(h))
+    plain = np.where(kind == _WORD, h, kind.astype(np.uint64)), kind != _WORD, h, every
+    name = (f[:, 1] == 1) & ~begins
+    if not name.any():
+        return plain, plain
+    kind = np.where(name, _NAME, kind)
+    at = every[~(name & np.r_[False, name[:-1]])]
+    value, kind = np.add.reduceat(h, at), kind[at]
+    return (np.where(kind == _WORD, value, kind.astype(np.uint64)), kind != _WORD, value, at), plain
+
+
+def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, is placeholder, slot value) of a text's template with names."""
+    return forms(text, words)[_NAMES][:3]
 
 
 def windows(codes: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
@@ -122,28 +135,37 @@ def _slots(slot: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]
 
 
 def item_windows(benchmark: DataFrame, size: int, least_words: int) -> DataFrame:
-    """(hash, found): per window hash the list of (item_id, at, size, words, slots)."""
+    """(hash, form, found): per window the list of (item_id, at, size, from, to,
+    words, slots), where the words of the item from ``from`` up to ``to`` are the
+    window's.  An item without names has the plain form alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(50_000)
         out = defaultdict(list)
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                codes, slot, value = template(text, words)
-                k = min(size, len(codes))
-                if item is None or k < least_words:
+                both = forms(text, words)
+                n = len(both[_PLAIN][0])
+                if item is None:
                     continue
-                for at, h in enumerate(windows(codes, slot, value, k)):
-                    for c, v in (("hash", int(h)), ("item_id", item), ("at", at), ("size", k),
-                                 ("words", len(codes)), ("slots", _slots(slot, value, at, k))):
-                        out[c].append(v)
+                for form, (codes, slot, value, first) in enumerate(both):
+                    k = min(size, len(codes))
+                    if k < least_words or form == _NAMES and both[_NAMES] is both[_PLAIN]:
+                        continue
+                    ends = np.r_[first[1:], n]
+                    for at, h in enumerate(windows(codes, slot, value, k)):
+                        for c, v in (("hash", int(h)), ("form", form), ("item_id", item), ("at", at), ("size", k),
+                                     ("from", int(first[at])), ("to", int(ends[at + k - 1])), ("words", n),
+                                     ("slots", _slots(slot, value, at, k))):
+                            out[c].append(v)
         if out:
             yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema(
-                [("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32()),
-                 ("words", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+                [("hash", pa.int64()), ("form", pa.int32()), ("item_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32()),
+                 ("from", pa.int32()), ("to", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.int64()))]))
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(
-        run, "hash long, item_id long, at int, size int, words int, slots array<long>")
-    return rows.groupBy("hash").agg(F.collect_set(F.struct("item_id", "at", "size", "words", "slots")).alias("found"))
+        run, "hash long, form int, item_id long, at int, size int, `from` int, `to` int, words int, slots array<long>")
+    return rows.groupBy("hash", "form").agg(F.collect_set(
+        F.struct("item_id", "at", "size", "from", "to", "words", "slots")).alias("found"))
 
 
 _HIT = "doc_id long, item_id long, covered long, words long, cover double, consistency double, same_slots boolean"
@@ -152,11 +174,11 @@ _HIT = "doc_id long, item_id long, covered long, words long, cover double, consi
 def _judge(least_cover: float, least_consistency: float):
     def run(key, table):
         doc, item = (k.as_py() for k in key)
-        rows = table.select(["dpos", "at", "size", "words", "dslots", "slots"]).to_pylist()
+        rows = table.select(["form", "dpos", "at", "from", "to", "words", "dslots", "slots"]).to_pylist()
         words = rows[0]["words"]
         lines = defaultdict(list)
         for r in rows:
-            lines[r["dpos"] - r["at"]].append(r)
+            lines[r["form"], r["dpos"] - r["at"]].append(r)
         covered, agree, of, same = set(), 0, 0, True
         for line in lines.values():
             pairs = Counter()
@@ -174,7 +196,7 @@ def _judge(least_cover: float, least_consistency: float):
             agree, of = agree + share * total, of + total
             same = same and all(a == b for a, b in pairs)
             for r in line:
-                covered.update(range(r["at"], r["at"] + r["size"]))
+                covered.update(range(r["from"], r["to"]))
         hit = len(covered) >= least_cover * words and covered
         row = [doc, item, len(covered), words, len(covered) / words, agree / of if of else 1.0, same]
         return pa.table({f.split()[0]: pa.array([v] if hit else [], t) for f, v, t in zip(
@@ -189,9 +211,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least_cov
     whether all slot values are the same.
 
     Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only.  Null
-    and empty texts match nothing; items of under ``least_words`` template words
-    are no evidence and match nothing; shorter items than a window match as a
-    whole.  Rows that share a doc_id are judged together."""
+    and empty texts match nothing; items of under ``least_words`` words are no
+    evidence and match nothing; shorter items than a window match as a whole.  Rows that share a doc_id are judged together."""
     spark = docs.sparkSession
     items = written(item_windows(benchmark, size, least_words), "items")
     sizes = sorted(r[0] for r in items.select(F.explode("found.size").alias("s")).distinct().collect())   # `size` at most
@@ -200,25 +221,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least_cov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in (part for batch in batches for part in slices(batch, 1)):
-            ids, pos, hashes, slots = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                codes, slot, value = template(text, words)
-                for k in sizes:
-                    h = windows(codes, slot, value, k)
-                    at = np.flatnonzero(may_hold(bits.value, h))
-                    for p, x in zip(at.tolist(), h[at].tolist()):
+            ids, form, pos, hashes, slots = [], [], [], [], []
+
+            def add(doc, of, k, codes, slot, value, first):
+                if not len(codes):
+                    return
+                h = windows(codes, slot, value, k)
+                at = np.flatnonzero(may_hold(bits.value, h))
+                for p, x in zip(at.tolist(), h[at].tolist()):
+                    there = _slots(slot, value, p, k)
+                    for kind in of:
                         ids.append(doc)
+                        form.append(kind)
                         pos.append(p)
                         hashes.append(x)
-                        slots.append(_slots(slot, value, p, k))
+                        slots.append(there)
+
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                named, plain = forms(text, words)
+                for k in sizes:
+                    if named is plain:
+                        add(doc, (_NAMES, _PLAIN), k, *plain)
+                    else:
+                        add(doc, (_NAMES,), k, *named)
+                        add(doc, (_PLAIN,), k, *plain)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()),
-                 pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "dpos", "hash", "dslots"])
+                [pa.array(ids, pa.int64()), pa.array(form, pa.int32()), pa.array(pos, pa.int32()),
+                 pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))],
+                ["doc_id", "form", "dpos", "hash", "dslots"])
 
     near = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, dpos int, hash long, dslots array<long>")
-    pairs = near.join(items, "hash").select("doc_id", "dpos", "dslots", F.explode("found").alias("f")).select(
-        "doc_id", "dpos", "dslots", "f.*")
+        run, "doc_id long, form int, dpos int, hash long, dslots array<long>")
+    pairs = near.join(items, ["hash", "form"]).select("doc_id", "form", "dpos", "dslots", F.explode("found").alias("f")).select(
+        "doc_id", "form", "dpos", "dslots", "f.*")
     return pairs.groupBy("doc_id", "item_id").applyInArrow(_judge(least_cover, least_consistency), _HIT)
 
 

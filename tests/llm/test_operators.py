@@ -345,6 +345,11 @@ def test_decontamination_of_items_dense_in_numbers(spark):
     assert _covers(spark, items, items + other) == {(i, i): 1.0 for i in range(4)}
 
 
+def test_decontamination_of_items_in_title_case(spark):
+    items = ["The Old Man And The Sea Nobel Prize", "Martin Luther King Junior Memorial Library", "War And Peace"]
+    assert _covers(spark, items, items + ["The Old Man", "Peace And War"]) == {(i, i): 1.0 for i in range(3)}
+
+
 # --------------------------------------------------------- 8 licences
 
 def test_license_scan(spark):
