@@ -41,6 +41,7 @@ mph kph byte bytes kb mb gb tb""".split()
 
 _WORD, _NUMBER, _UNIT, _NAME = range(4)
 _EDGE = ".,;:!?\"'()[]{}<>“”‘’«»…*_#|-–—$€£¥"
+_INSIDE = dict.fromkeys(map(ord, "'’‐-"))
 _FACTORS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _EXACT = np.uint64(0x9E3779B97F4A7C15)                   # apart from the template of the same words
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
@@ -60,7 +61,7 @@ class _Words(dict):
             self.hashes, self.flags = np.resize(self.hashes, 2 * i), np.resize(self.flags, (2 * i, 4))
         self[word] = i
         core = word if word.isalpha() else word.strip(_EDGE)
-        low = core.lower()
+        low = core.casefold()                            # straße and STRASSE are one word
         kind = _WORD
         if core.isalpha():
             if low in _NUMBERS:
@@ -69,6 +70,8 @@ class _Words(dict):
                 kind = _UNIT
         elif core and core[0].isdigit() or core[1:2].isdigit() and core[0] in "+-.":
             kind = _NUMBER
+        if kind == _WORD:
+            low = low.translate(_INSIDE) or low          # don't and dont are one word
         title = kind == _WORD and len(core) > 1 and core[0].isupper() and core[1:].islower()
         self.hashes[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         self.flags[i] = kind, title, word.rstrip("\"'”’)]»")[-1:] in (".", "!", "?", ":"), not core

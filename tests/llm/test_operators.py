@@ -350,6 +350,14 @@ def test_decontamination_of_items_in_title_case(spark):
     assert _covers(spark, items, items + ["The Old Man", "Peace And War"]) == {(i, i): 1.0 for i in range(3)}
 
 
+def test_decontamination_in_other_case_and_without_punctuation(spark):
+    items = ["Welche Stadt ist die Hauptstadt der Schweiz und liegt am Fluss Aare, nicht an der Hauptstraße?",
+             "Don't stop. Tom, the baker's son, said: Anna went to Rome. Then Eve left Paris!", ITEM]
+    bare = [re.sub(r"[^\w\s]", "", t) for t in items]
+    for texts in ([t.lower() for t in items], [t.upper() for t in items], [t.title() for t in items], bare, [t.lower() for t in bare]):
+        assert _covers(spark, items, texts) == {(i, i): 1.0 for i in range(3)}
+
+
 # --------------------------------------------------------- 8 licences
 
 def test_license_scan(spark):
