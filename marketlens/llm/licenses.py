@@ -1,6 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams, in DataFrame operations.
 
-A text's units are its lines and its paragraphs of several lines.  A unit and a
+A text's units are its lines and its paragraphs of several lines, and the runs
+of neighbouring words anywhere in it, for notices that share their line with
+other text or are wrapped in comment marks.  A unit and a
 template are normalised alike (lower case, letters and digits only) and compared
 by ``2 |a & b| / (|a| + |b|)`` over their sets of word bigrams.  To reach a
 threshold t, a unit's set must have between ``t / (2 - t)`` and ``(2 - t) / t``
@@ -8,11 +10,16 @@ times the template's size: units outside the bounds of all templates are cut
 before their bigrams are made, as are units without a word that a match must
 hold; candidate templates outside a unit's bounds are cut before the shared
 bigrams are counted.
+
+Of the runs around a notice the best begins and ends with a bigram of the
+template, so only those are compared, where as many of the template's bigrams as
+a match needs lie within the longest run a match may have.  A run's size is its
+shared bigrams and the places of its others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Notices of common public licences, as (licence, text).
@@ -63,10 +70,15 @@ def words(text):
     return F.filter(F.split(F.lower(text), NOT_WORD, -1), lambda w: w != "")
 
 
+def pairs_of(w):
+    """The neighbouring pairs of words, in order."""
+    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(
+        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def bigrams(w):
     """Set of the neighbouring pairs of words."""
-    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(
-        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+    return F.array_distinct(pairs_of(w))
 
 
 def units(text):
@@ -92,10 +104,45 @@ def anchors(sets: list[list[str]], percent: int) -> list[str]:
     return sorted(out)
 
 
+def run_matches(docs: DataFrame, by_gram: DataFrame, least: int, rare: list[str], percent: int) -> DataFrame:
+    """(doc_id, license, n_units, b): notices among the runs of words of whole
+    texts.  Runs that overlap are one place."""
+    w = F.filter(F.transform(F.array("text"), words),
+                 lambda w: (F.size(w) - 1 >= least) & F.exists(w, lambda x: x.isin(rare)))
+    text = ["doc_id", "body", "template", "license", "template_size"]
+    size = F.col("template_size")
+    need = F.ceil(size * percent / (200 - percent)).cast("int")            # shared bigrams of a match, at least
+    most = F.floor(size * (200 - percent) / percent).cast("int")           # places of a run, at most
+    held = (docs.select("doc_id", F.xxhash64("text").alias("body"), F.explode(F.transform(w, pairs_of)).alias("g"))
+            .select("doc_id", "body", F.posexplode("g").alias("at", "gram")).join(by_gram, "gram")
+            .groupBy(text).agg(F.sort_array(F.collect_set(F.struct("at", "gram"))).alias("p"))    # of one text
+            .withColumn("need", need).withColumn("most", most).where(F.size("p") >= F.col("need")))
+    at = lambda k: F.get("p", k)["at"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("p") - F.col("need")),
+                      lambda k: at(k + F.col("need") - 1) - at(k) < F.col("most"))
+    near = held.select(*text, "need", "p", "most", F.explode(starts).alias("k")).select(
+        *text, "need", F.filter(F.slice("p", F.col("k") + 1, F.col("most")), lambda x: x["at"] - at(F.col("k")) < F.col("most")).alias("p"))
+
+    def run(j):                                                            # from the first to the j-th shared place
+        shared = F.size(F.array_distinct(F.transform(F.slice("p", F.lit(1), j), lambda x: x["gram"])))
+        return F.struct(shared.alias("shared"), (shared + at(j - 1) - at(F.lit(0)) + 1 - j).alias("unit_size"), at(j - 1).alias("end"))
+
+    found = (near.select(*text, at(F.lit(0)).alias("start"), F.explode(F.transform(F.sequence("need", F.size("p")), run)).alias("r"))
+             .select(*text, "start", "r.*").where(F.col("shared") * 200 >= percent * (F.col("unit_size") + size)))
+    before = Window.partitionBy("doc_id", "body", "license").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max("end").over(before)
+    best = F.struct((F.col("shared") * 2 / (F.col("unit_size") + size)).alias("dice"), (-F.col("template")).alias("t"),
+                    (-F.col("start")).alias("u"), F.col("shared").cast("long").alias("shared"), "unit_size", "template_size")
+    return (found.withColumn("new", (last.isNull() | (F.col("start") > last)).cast("long"))
+            .groupBy("doc_id", "license").agg(F.sum("new").alias("n_units"), F.max(best).alias("b")))
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
     """One row per (doc_id, license) found: ``n_units`` (distinct unit places),
     and ``shared``, ``unit_size``, ``template_size`` and ``dice`` of the best
-    match.
+    match.  Lines and paragraphs come before runs: where one matches, the best of
+    them is given; ``n_units`` is their number or that of the places of runs,
+    whichever is larger.
 
     Reads ``docs(doc_id, text)``; null and empty texts match nothing, units and
     templates of under two words have no bigram and match nothing.  A unit that
@@ -132,9 +179,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     dice = F.col("shared") * 2 / (F.col("unit_size") + F.col("template_size"))
     best = F.struct(dice.alias("dice"), (-F.col("template")).alias("t"), (-F.col("unit")).alias("u"),
                     "shared", "unit_size", "template_size")
-    return (pairs.groupBy("doc_id", "license").agg(F.countDistinct("unit").alias("n_units"), F.max(best).alias("b"))
-            .select("doc_id", "license", "n_units", "b.shared", F.col("b.unit_size").cast("long").alias("unit_size"),
-                    F.col("b.template_size").cast("long").alias("template_size"), "b.dice"))
+    whole = pairs.groupBy("doc_id", "license").agg(F.countDistinct("unit").alias("n_units"), F.max(best).alias("b"))
+    either = whole.withColumn("whole", F.lit(1)).union(
+        run_matches(docs.select("doc_id", "text"), by_gram, least, rare, percent).withColumn("whole", F.lit(0)))
+    return (either.groupBy("doc_id", "license").agg(F.max("n_units").alias("n_units"), F.max(F.struct("whole", "b")).alias("b"))
+            .select("doc_id", "license", "n_units", "b.b.shared", F.col("b.b.unit_size").cast("long").alias("unit_size"),
+                    F.col("b.b.template_size").cast("long").alias("template_size"), "b.b.dice"))
 
 
 def _quoted(text: str) -> str:

@@ -385,6 +385,22 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs_of(spark, rows), []).count() == 0
 
 
+def test_license_scan_of_notices_within_other_text(spark):
+    long = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and len(t) > 100)
+    block = lambda mark, t: "\n".join([mark] + [f"{mark} {' '.join(t.split()[i:i + 9])}" for i in range(0, len(t.split()), 9)] + [mark])
+    filler = " ".join(f"Some{i} other{i} words of a page that nobody{i} has licensed." for i in range(40))
+    rows = [(1, f"{filler} Released under the MIT License. Contact us for details, please. {filler}"),
+            (2, block("#", "Copyright 2020 by the authors of this file") + "\n" + block("#", long) + "\n#\n" + block("#", filler)),
+            (3, f"/*\n{block(' *', bsd)}\n * \n{block(' *', filler)}\n */"), (4, filler),
+            (5, f"Released under the MIT License.\n\n{filler} Licensed under the MIT License. {filler}"),
+            (None, f"{filler} Licensed under CC BY-NC 4.0. {filler}")]
+    rows += rows[:1]
+    got = {(r["doc_id"], r["license"]): (r["n_units"], r["dice"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {(1, "MIT"): (1, 1.0), (2, "MIT"): (1, 1.0), (3, "BSD-3-Clause"): (1, 1.0), (5, "MIT"): (2, 1.0),
+                   (None, "CC-BY-NC-4.0"): (1, 1.0)}
+
+
 # --------------------------------------------------------- 9 WARC
 
 def test_warc_round_trip(spark, tmp_path):
