@@ -55,7 +55,7 @@ class SetupResult:
 
 def setup(spark: SparkSession, source: str, *, fmt: str = "parquet-test",
           database: str = "marketplace", buckets: int | None = None,
-          stage: bool = True) -> SetupResult:
+          stage: bool = True, multi_line: frozenset[str] = frozenset()) -> SetupResult:
     """Entry point A: database -> load -> type repair -> key checks -> layout.
 
     ``fmt`` is ``"csv"`` (the nine exported CSV files, typed with quarantine)
@@ -63,10 +63,11 @@ def setup(spark: SparkSession, source: str, *, fmt: str = "parquet-test",
     With ``stage`` the tables are written once with their layouts and the
     staged tables are returned; ``buckets`` buckets the order grain (about its
     size divided by 256 MB), without it those tables are sorted by range.
+    ``multi_line`` names the tables whose CSV files hold quoted newlines.
     """
     create_database(spark, database)
     if fmt == "csv":
-        tables, quarantine = load_csv(spark, source)
+        tables, quarantine = load_csv(spark, source, multi_line=multi_line)
     elif fmt == "parquet-test":
         tables, quarantine = load(spark, source), {}
     else:

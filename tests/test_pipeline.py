@@ -43,3 +43,19 @@ def test_setup_from_csv_export(spark, t001):
         a = sorted(map(tuple, QUERIES[key](res.tables).collect()))
         b = sorted(map(tuple, QUERIES[key](t001).collect()))
         assert a == b, key
+
+
+def test_setup_from_csv_with_newlines_in_review_comments(spark):
+    import os
+
+    from marketlens.schema import CSV_NAMES, SCHEMAS
+    d = tempfile.mkdtemp(prefix="run-csvlines-", dir="/tmp")
+    for name, schema in SCHEMAS.items():
+        with open(os.path.join(d, f"{CSV_NAMES[name]}.csv"), "w") as f:
+            f.write(",".join(schema.names) + (",comment\n" if name == "order_reviews" else "\n"))
+            if name == "order_reviews":
+                f.write('r1,o1,5,2018-01-02 00:00:00,"Good,\nand ""fast"""\nr2,o2,1,2018-01-03 00:00:00,late\n')
+    res = setup(spark, d, fmt="csv", database="pipe_csv", stage=False, multi_line=frozenset({"order_reviews"}))
+    rows = sorted((r["review_id"], r["review_score"]) for r in res.tables["order_reviews"].collect())
+    assert rows == [("r1", 5), ("r2", 1)]
+    assert res.quarantine["order_reviews"].count() == 0
