@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, quality, token_scan, topk, toxicity, warc)
 from .shared import bounded_batches
 
-#: Target shares of the named sources; every other source is one class with share 4.
-SOURCE_SHARES = {"src0": 5, "src1": 2, "src2": 2, "src3": 2, "src4": 1, "src5": 1, "src6": 1, "src7": 1, "src8": 1}
-OTHER_SHARE = 4
+#: Target shares of 60.  The known sources without a weight of their own (src9 to src19) have one each, and unknown and
+#: null sources together are one class with share 1.
+SOURCE_SHARES = {"src0": 15, "src1": 6, "src2": 6, "src3": 6, "src4": 3, "src5": 3, "src6": 3, "src7": 3, "src8": 3,
+                 **{f"src{i}": 1 for i in range(9, 20)}}
+OTHER_SHARE = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,6 +52,13 @@ def test_classifier_queries(spark, name, parts, held):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
 
+def test_every_known_source_has_its_own_class(spark):
+    rows = QUERIES["op5_mixing"](spark, SF).select("source", "mix_class", "phase", "slot").distinct().collect()
+    known = {f"src{i}" for i in range(20)}
+    assert {r["source"] for r in rows} & known - {f"src{i}" for i in range(9)}
+    assert all(r["mix_class"] == (r["source"] if r["source"] in known else mixing.OTHER) for r in rows)
+
+
 def test_planted_passages_are_found(spark, sql):
     got = {(r[0], r[1]) for r in QUERIES["op6_decontaminate"](spark, SF).select("doc_id", "item_id").collect()}
     want = set(sql.sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall())
