@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, quality, token_scan, topk, toxicity, warc)
+from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, phrases, pii, quality, token_scan, topk, toxicity, warc,
+               whitening)
 from .shared import bounded_batches
 
 #: Target shares of 60.  The known sources without a weight of their own (src9 to src19) have one each, and unknown and
@@ -74,9 +75,25 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, percent=100)
+
+
+def op12_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    n = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *n, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_list(F.col("spans")).alias("spans"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_line_dedup, op4_toxicity, op5_mixing, op6_decontaminate, op7_quality,
-    op8_license_scan, op9_warc, op10_exact_topk)}
+    op8_license_scan, op9_warc, op10_exact_topk, op11_phrases, op12_pii, op13_whitening)}
 
 _LINE_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -98,8 +115,33 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+_PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row_no,
+    string_split(translate(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(9), ' '), chr(10)) AS pieces FROM documents),
+p AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ws
+    FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+i AS (SELECT lang, array_to_string(ws[s.a:s.b], ' ') AS phrase, max(f.f) AS longer FROM f,
+    (SELECT a, b FROM (SELECT unnest(range(1, 6)) AS a), (SELECT unnest(range(1, 6)) AS b) WHERE b > a) s
+    WHERE s.b <= k AND s.b - s.a + 1 < k GROUP BY ALL),
+c AS (SELECT f.lang, f.k, f.ws, f.phrase, f.f AS a FROM f LEFT JOIN i USING (lang, phrase)
+    WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * f.f)),
+u AS (SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
+    FROM c JOIN (SELECT unnest(range(1, 5)) AS cut) ON cut < c.k
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:c.k], ' ')
+    JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase,
+    CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b QUALIFY rank <= 2000"""
+
 ORACLE_SQL = {
     "op3_line_dedup": _LINE_SQL,
     "op8_license_scan": licenses.license_sql(),
     "op10_exact_topk": _TOPK_SQL,
+    "op11_phrases": _PHRASE_SQL,
 }
