@@ -1,6 +1,6 @@
 """Display labels and thresholds used by the business queries.
 
-Kept in one place; the oracle SQL is generated from the same constants.
+The oracle states the bucket and grade values again for itself.
 """
 
 # Delivery-day buckets of the satisfaction question: (low, high, label),

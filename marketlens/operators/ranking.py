@@ -12,7 +12,11 @@ through one task.
                         sends at most n rows per map partition.
 * ``rank_by``         – rank / dense rank of every row.  Ranks the distinct
                         values in range partitions with one offset each, then
-                        joins back: no global single-partition window.
+                        joins back: no global single-partition window.  Its
+                        ``row_number`` is ``row_numbers``.
+* ``row_numbers``     – number of every row in a total order: rows are dealt by
+                        range of the whole order, so one tied value is split
+                        too; one shuffle and one offset per range.
 """
 
 from __future__ import annotations
@@ -63,10 +67,43 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: OrderSpec, n: in
     return out.withColumnRenamed("_rn", rank_col) if rank_col else out.drop("_rn")
 
 
+def _offsets(placed: DataFrame, weight: Column) -> DataFrame:
+    """(_bin, _off): per range partition the weight of those before it.  One
+    row per partition, so the window is as small as the partitions are few."""
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.groupBy("_bin").agg(F.sum(weight).alias("_n")).select(
+        "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
+def row_numbers(df: DataFrame, order: OrderSpec, rank_col: str = "rank",
+                bins: int | None = None) -> DataFrame:
+    """SQL ``row_number() over (order by ...)`` of every row, as a bigint.
+
+    Rows are range-partitioned by all of ``order`` and sorted, numbered from
+    the partition's start, written once to the shared folder, and moved by the
+    number of rows before their partition.  ``order`` should be total: rows
+    equal in it keep together and are numbered in any order, as in SQL.  An
+    input column of the name ``rank_col`` is replaced.
+    """
+    bins = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = _cols(order)
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(df.repartitionByRange(bins, *cols).sortWithinPartitions(*cols)
+                         .withColumns({"_bin": F.spark_partition_id(), "_pos": in_partition}))
+    off = F.broadcast(_offsets(placed, F.lit(1)))        # at most ``bins`` rows
+    return placed.join(off, "_bin").withColumn(rank_col, F.col("_off") + F.col("_pos") + 1).drop(
+        "_bin", "_pos", "_off")
+
+
 def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bool = True,
-            rank_col: str = "rank", bins: int | None = None) -> DataFrame:
+            rank_col: str = "rank", bins: int | None = None,
+            tie_breakers: OrderSpec = ()) -> DataFrame:
     """O6 over all rows: SQL ``dense_rank`` or ``rank`` of non-null ``value``,
-    without a global single-partition window; one path for every size.
+    or ``row_number`` by value and ``tie_breakers``, as a bigint, without a
+    global single-partition window; one path for every size.
+
+    ``row_number`` numbers rows with a null value too, first when ascending,
+    last when not; see ``row_numbers``.  The other two:
 
     1. distinct values with their row counts (partial aggregation: a value
        holding a third of all rows is still one row here);
@@ -79,6 +116,9 @@ def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bo
     back; rows with a null value get a null rank.  ``bins`` is the number of
     range partitions, by default the session's shuffle partitions.
     """
+    if method == "row_number":
+        first = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
+        return row_numbers(df, [first, *tie_breakers], rank_col, bins)
     if method not in ("dense_rank", "rank"):
         raise ValueError(method)
     bins = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -87,16 +127,14 @@ def rank_by(df: DataFrame, value: str, method: str = "dense_rank", ascending: bo
             .agg(F.count(F.lit(1)).alias("_c")))
     placed = materialize(vals.repartitionByRange(bins, order).withColumn("_bin", F.spark_partition_id()))
     weight = F.lit(1) if method == "dense_rank" else F.col("_c")
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_bin").agg(F.sum(weight).alias("_n")).select(
-        "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = _offsets(placed, weight)
     within = Window.partitionBy("_bin").orderBy(order)
     if method == "dense_rank":
         pos = F.row_number().over(within)
     else:  # rows with a strictly better value, plus one
         pos = F.sum("_c").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c") + 1
     ranked = placed.withColumn("_pos", pos).join(offsets, "_bin").select(
-        "_v", (F.col("_off") + F.col("_pos")).cast("int").alias(rank_col))
+        "_v", (F.col("_off") + F.col("_pos")).cast("bigint").alias(rank_col))
     return df.join(ranked, df[value] == ranked["_v"], "left").drop("_v")
 
 

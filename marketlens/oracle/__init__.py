@@ -5,5 +5,5 @@ adapter text as the Spark side; everything above them is written from the
 column definitions over per-order blocks.
 """
 
-from marketlens.oracle import model_kpi  # noqa: F401  (registers M and K)
+from marketlens.oracle import model_kpi, storage  # noqa: F401  (register M and K, I and L)
 from marketlens.oracle.queries import Q as ORACLE_SQL  # noqa: F401

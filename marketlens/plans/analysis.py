@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.columns import (at_least_one, avg_days, bucketize,
                                           day_diff, fixed, grade, int_div, pct, ratio)
 from marketlens.functions.labels import INVALID_BUCKET
-from marketlens.operators.ranking import dense_rank_all, top_n, top_n_ranked
+from marketlens.operators.ranking import dense_rank_all, rank_by, top_n, top_n_ranked
 from marketlens.operators.shares import (conditional_share, period_growth,
                                          share_of_top_n)
 from marketlens.plans.grain import (delivery_days, fanout_weights, items_enriched,
@@ -204,6 +204,12 @@ def fastest_sellers_row_number(t: T, n: int = 10, int_avg: bool = True) -> DataF
         .orderBy("rank")
 
 
+def fastest_sellers_row_number_all(t: T, int_avg: bool = True) -> DataFrame:
+    """Q14 without its cut: every seller's number by average delivery days."""
+    return rank_by(_seller_delivery_days(t, int_avg), "avg_days", "row_number",
+                   tie_breakers=[ASC("seller_id")])
+
+
 def fastest_sellers_dense_rank(t: T, int_avg: bool = True) -> DataFrame:
     """Q15: every seller with its dense rank by average delivery days."""
     g = _seller_delivery_days(t, int_avg)

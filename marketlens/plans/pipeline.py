@@ -9,41 +9,25 @@ C. ``refresh_model``  build the star model and hand it to a BI tool as Parquet.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from marketlens.operators.quality import key_report
 from marketlens.plans import model as M
-from marketlens.plans.validation import fk_check, pk_check
 from marketlens.schema import FOREIGN_KEYS, PRIMARY_KEYS
-from marketlens.sources import (create_database, export_model, load, load_csv,
+from marketlens.sources import (create_database, export_model, import_csv, load, new_folder,
                                 stage_tables)
 
 T = dict[str, DataFrame]
 
 
 def constraint_report(t: T) -> DataFrame:
-    """One row per declared key: kind, name, violating key values and rows.
-
-    The sixteen checks are small aggregates stacked into one frame; a sound
-    table set reports zero everywhere.
-    """
-    parts = []
-    for table in PRIMARY_KEYS:
-        v = pk_check(t, table)
-        parts.append(v.agg(F.count(F.lit(1)).alias("bad_values"),
-                           F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("bad_rows"))
-                     .select(F.lit("primary_key").alias("kind"), F.lit(table).alias("name"),
-                             "bad_values", "bad_rows"))
-    for rel in FOREIGN_KEYS:
-        v = fk_check(t, rel)
-        parts.append(v.agg(F.count(F.lit(1)).alias("bad_values"),
-                           F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("bad_rows"))
-                     .select(F.lit("foreign_key").alias("kind"), F.lit(rel).alias("name"),
-                             "bad_values", "bad_rows"))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per declared key: kind, name, violating key values and rows, all
+    judged in one pass over the tables; zero everywhere for a sound set.  The
+    zip dimension is the distinct zips of the geolocation table unless ``t`` has
+    a table of its own."""
+    return key_report(t, PRIMARY_KEYS, FOREIGN_KEYS, derived={} if "zip" in t else {"zip": "geolocation"})
 
 
 @dataclass
@@ -51,6 +35,8 @@ class SetupResult:
     tables: T
     quarantine: T
     report: DataFrame
+    #: per table of a CSV import the rows read and rejected, in all and by column
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def setup(spark: SparkSession, source: str, *, fmt: str = "parquet-test",
@@ -63,18 +49,21 @@ def setup(spark: SparkSession, source: str, *, fmt: str = "parquet-test",
     With ``stage`` the tables are written once with their layouts and the
     staged tables are returned; ``buckets`` buckets the order grain (about its
     size divided by 256 MB), without it those tables are sorted by range.
-    ``multi_line`` names the tables whose CSV files hold quoted newlines.
+    ``multi_line`` names the tables whose CSV files hold quoted newlines.  Each
+    CSV file is read once: typed and quarantined rows go to the session's shared
+    folder and are counted on the way.
     """
     create_database(spark, database)
+    counts: dict[str, dict[str, int]] = {}
     if fmt == "csv":
-        tables, quarantine = load_csv(spark, source, multi_line=multi_line)
+        tables, quarantine, counts = import_csv(spark, source, new_folder(spark, "import"), multi_line=multi_line)
     elif fmt == "parquet-test":
         tables, quarantine = load(spark, source), {}
     else:
         raise ValueError(fmt)
     if stage:
         tables = stage_tables(spark, tables, database=database, buckets=buckets)
-    return SetupResult(tables, quarantine, constraint_report(tables))
+    return SetupResult(tables, quarantine, constraint_report(tables), counts)
 
 
 MODEL_TABLES = {

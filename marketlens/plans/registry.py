@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.columns import ratio
 from marketlens.plans import analysis as A
+from marketlens.plans import faults as D
 from marketlens.plans import kpi as K
 from marketlens.plans import model as M
 from marketlens.plans import pipeline as P
+from marketlens.plans import storage as S
 from marketlens.plans import validation as V
 from marketlens.plans import views as W
 from marketlens.plans.grain import payments_per_order, reviews_per_order
@@ -46,6 +48,9 @@ QUERIES: dict[str, Callable[[T], DataFrame]] = {
     "orphan_orders": V.orphan_orders,
     "null_seller_audit": V.null_seller_audit,
     "constraint_report": P.constraint_report,
+    **D.QUERIES,
+    # I and L: what comes back from sinks and sources
+    **S.QUERIES,
     # W: views, their CTE operators and sample queries
     "orders_detail": W.orders_detail,
     "customer_profile": W.customer_profile,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[T], DataFrame]] = {
     "top10_seller_concentration": A.top10_seller_concentration,
     "fastest_sellers_row_number": A.fastest_sellers_row_number,
     "fastest_sellers_row_number_exact": partial(A.fastest_sellers_row_number, int_avg=False),
+    "fastest_sellers_row_number_all": A.fastest_sellers_row_number_all,
     "fastest_sellers_dense_rank": A.fastest_sellers_dense_rank,
     "fastest_sellers_dense_rank_top": A.fastest_sellers_dense_rank_top,
     "fastest_sellers_dense_rank_exact": partial(A.fastest_sellers_dense_rank, int_avg=False),

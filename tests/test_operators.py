@@ -114,3 +114,47 @@ def test_rank_by_matches_window(spark, method, fn, asc):
     want = {r.k: r.r for r in df.select("k", fn().over(Window.orderBy(order)).alias("r"))
             .collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("asc", [True, False])
+@pytest.mark.parametrize("bins", [1, 3, 9, 64])
+def test_row_numbers_match_window_and_split_a_tied_value(spark, asc, bins):
+    from marketlens.operators import rank_by
+    # a hot value holds a third of the rows, another tenth is null; ``rank`` is an input column too
+    vals = [(i, None if i % 10 == 7 else 0.0 if i % 3 == 0 else float((i * 37) % 101) / 3.0, -i) for i in range(600)]
+    df = spark.createDataFrame(vals, "k int, v double, rank int").repartition(5)
+    out = rank_by(df, "v", "row_number", asc, bins=bins, tie_breakers=[F.desc("k")])
+    assert dict(out.dtypes)["rank"] == "bigint" and sorted(out.columns) == ["k", "rank", "v"]
+    order = F.asc_nulls_first("v") if asc else F.desc_nulls_last("v")
+    want = {r.k: r.r for r in df.select("k", F.row_number().over(Window.orderBy(order, F.desc("k"))).alias("r")).collect()}
+    assert {r.k: r["rank"] for r in out.collect()} == want
+
+
+def test_row_numbers_deal_a_tied_value_over_tasks_without_a_second_shuffle(spark, monkeypatch):
+    from marketlens.operators import ranking
+    placed = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df: placed.append(keep(df)) or placed[-1])
+    df = spark.range(4000).select(F.lit(1).alias("v"), "id")
+    out = ranking.row_numbers(df, ["v", "id"], bins=8)
+    assert [r["rank"] for r in out.orderBy("id").collect()] == list(range(1, 4001))
+    sizes = [r["count"] for r in placed[0].groupBy("_bin").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    assert "hashpartitioning(id" not in out._jdf.queryExecution().executedPlan().toString()
+    assert ranking.row_numbers(df.limit(0), ["v", "id"], bins=3).collect() == []
+
+
+def test_key_report_reads_each_table_once_and_shuffles_once(spark):
+    from marketlens.operators import key_report
+    p = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("b",)], "id string")
+    c = spark.createDataFrame([("a", 1), ("z", 2), ("z", None), (None, 4), ("b", 4)], "fk string, n int")
+    primary = {"p": ["id"], "zone": ["n"]}
+    foreign = {"c_p": ("c", "fk", "p", "id"), "c_zone": ("c", "n", "zone", "n"), "p_c": ("p", "id", "c", "fk")}
+    out = key_report({"p": p, "c": c}, primary, foreign, derived={"zone": "c"})
+    assert {tuple(r) for r in out.collect()} == {
+        ("primary_key", "p", 2, 4), ("primary_key", "zone", 0, 0),        # a derived dimension is sound
+        ("foreign_key", "c_p", 1, 2), ("foreign_key", "c_zone", 0, 0), ("foreign_key", "p_c", 0, 0)}
+    with pytest.raises(ValueError, match="several"):
+        key_report({"p": p}, {"p": ["id", "id2"]}, {})
+    empty = key_report({"p": p.limit(0), "c": c.limit(0)}, primary, foreign, derived={"zone": "c"})
+    assert {tuple(r)[2:] for r in empty.collect()} == {(0, 0)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from decimal import Decimal
 
 import pytest
 
@@ -154,3 +155,92 @@ def test_csv_binds_by_header_and_quarantines_malformed_rows(spark):
     d = _payments_csv([",".join(names), ",".join(quoted)])
     good, bad = retype(ingest_csv(spark, d, "order_payments", multi_line=True), SCHEMAS["order_payments"])
     assert good.first().payment_type == "a\nb" and bad.count() == 0
+
+
+def _folder(table, files):
+    d = tempfile.mkdtemp(prefix="run-csv-", dir="/tmp")
+    from marketlens.schema import CSV_NAMES
+    folder = os.path.join(d, CSV_NAMES[table] + ".csv")
+    os.mkdir(folder)
+    for name, text in files.items():
+        if name.endswith(".gz"):
+            import gzip
+            with gzip.open(os.path.join(folder, name), "wt") as f:
+                f.write(text)
+        else:
+            with open(os.path.join(folder, name), "w") as f:
+                f.write(text)
+    return d
+
+
+def test_every_file_of_a_folder_is_bound_by_its_own_header(spark):
+    names = [f.name for f in SCHEMAS["customer"].fields]
+    other = ["customer_state", "customer_city", "more", "more", *names[:3]]
+    d = _folder("customer", {
+        "a.csv": ",".join(names) + "\nc1,u1,01001,rio,RJ\n",
+        "b.csv": ",".join(other) + "\nSP,sao,x,y,c2,u2,02002\nSP,campinas,x,y,c3,u3\n",
+        "c.csv.gz": "\ufeff" + ",".join(reversed(names)) + '\nMG,"belo, h",03003,u4,c4\n',
+        "_SUCCESS": "", "empty.csv": "", "d.csv": ",".join(names) + "\n"})
+    good, bad = retype(ingest_csv(spark, d, "customer"), SCHEMAS["customer"])
+    assert sorted(map(tuple, good.collect())) == [
+        ("c1", "u1", "01001", "rio", "RJ"), ("c2", "u2", "02002", "sao", "SP"), ("c4", "u4", "03003", "belo, h", "MG")]
+    rows = bad.collect()
+    assert [(r["_reason"], os.path.basename(r["_file"])) for r in rows] == [("malformed", "b.csv")]
+    d = _folder("customer", {"a.csv": ",".join(names) + "\n", "b.csv": ",".join(names[1:]) + "\nu1,1,c,s\n"})
+    with pytest.raises(ValueError, match=r"b\.csv has no column customer_id"):
+        ingest_csv(spark, d, "customer")
+
+
+def test_import_reads_once_and_says_why_rows_were_rejected(spark):
+    from marketlens.sources import import_csv
+    names = [f.name for f in SCHEMAS["order_payments"].fields]
+    d = _folder("order_payments", {
+        "a.csv": ",".join(names) + "\no1,1,card,9.50\no2,one,card,ten\no3,,card,\no4,2,card\n",
+        "b.csv": ",".join(reversed(names)) + "\n3.25,boleto,x,o5\n 7 ,boleto, 3 ,o6\n"})
+    store = tempfile.mkdtemp(prefix="run-import-", dir="/tmp")
+    good, bad, counts = import_csv(spark, d, store, tables=("order_payments",))
+    assert sorted((r.order_id, r.payment_sequential, r.payment_value) for r in good["order_payments"].collect()) == [
+        ("o1", 1, Decimal("9.50")), ("o3", None, None), ("o6", 3, Decimal("7.00"))]
+    assert good["order_payments"].schema.names == names
+    rows = {r.order_id: r for r in bad["order_payments"].collect()}
+    assert {k: r["_reason"] for k, r in rows.items()} == {
+        "o2": "payment_sequential,payment_value", "o4": "malformed", "o5": "payment_sequential"}
+    assert rows["o2"].payment_value == "ten" and rows["o4"]["_corrupt_record"] == "o4,2,card"
+    assert os.path.basename(rows["o5"]["_file"]) == "b.csv"
+    assert counts["order_payments"] == {"rows": 6, "rejected": 3, "fault_payment_sequential": 2,
+                                        "fault_payment_value": 1, "fault_malformed": 1}
+
+
+def test_month_layout_prunes_and_a_late_month_rewrites_its_own_folder(spark, t001):
+    from marketlens.sources import bought_between, read_months, write_months
+    path = tempfile.mkdtemp(prefix="run-months-", dir="/tmp") + "/orders"
+    orders = t001["orders"].union(t001["orders"].limit(1).withColumns(
+        {"order_id": F.lit("undated"), "order_purchase_timestamp": F.lit(None).cast("timestamp_ntz")}))
+    write_months(orders, path, files=6)
+    months = read_months(spark, path, orders)
+    assert months.count() == orders.count() and months.where("purchase_month is null").count() == 1
+    part = bought_between(months, "1996-02-10", "1996-04-05")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters"):]
+    scan = scan[:scan.index("PushedFilters")]
+    assert ">= 1996-02" in scan and "<= 1996-04" in scan
+    day = F.to_date("order_purchase_timestamp")
+    assert part.count() == orders.where(day.between(F.lit("1996-02-10").cast("date"), F.lit("1996-04-05").cast("date"))).count() > 0
+    before = {f: os.stat(f.removeprefix("file://")).st_mtime_ns for f in months.inputFiles()}
+    late = orders.where(F.date_format("order_purchase_timestamp", "yyyy-MM") == "1996-03")
+    write_months(late.limit(5), path, files=2)
+    again = read_months(spark, path, orders)
+    after = {f: os.stat(f.removeprefix("file://")).st_mtime_ns for f in again.inputFiles()}
+    assert {f for f in before if "=1996-03" not in f} == {f for f in after if "=1996-03" not in f}
+    assert all(before[f] == after[f] for f in after if "=1996-03" not in f)
+    assert again.where("purchase_month = '1996-03'").count() == 5
+
+
+def test_a_hot_month_is_several_files(spark, t001):
+    from marketlens.sources import read_months, write_months
+    path = tempfile.mkdtemp(prefix="run-months-", dir="/tmp") + "/orders"
+    hot = t001["orders"].withColumn("order_purchase_timestamp", F.when(
+        F.length("order_id") > 2, F.lit("1997-07-07 00:00:00").cast("timestamp_ntz")).otherwise(F.col("order_purchase_timestamp")))
+    write_months(hot, path, files=8)
+    files = [f for f in read_months(spark, path, hot).inputFiles() if "=1997-07" in f]
+    assert len(files) >= 4
