@@ -99,3 +99,12 @@ def key_report(tables: Mapping[str, DataFrame], primary: Mapping[str, Sequence[s
         for _, _, (kind, name) in names])).alias("v")).select("v.*")
     return bad.union(every).groupBy("kind", "name").agg(
         F.count_if(F.col("n") > 0).alias("bad_values"), F.sum("n").alias("bad_rows"))
+
+
+def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """M11 for any frame: a row (column_name, rows, nulls) per column of
+    ``cols`` (all by default), from one aggregate."""
+    cols = list(cols or df.columns)
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(cols)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("rows"), F.col(f"_{i}").alias("nulls"))
+                                          for i, c in enumerate(cols)])).alias("r")).select("r.*")

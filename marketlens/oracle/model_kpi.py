@@ -92,8 +92,9 @@ _q("dim_customer", """
 SELECT c.customer_id, c.customer_unique_id, c.customer_city, c.customer_state,
   c.customer_zip_code_prefix, g.lat AS geolocation_lat, g.lng AS geolocation_lng
 FROM k_customer c LEFT JOIN (
-  SELECT geolocation_zip_code_prefix AS zip, avg(geolocation_lat) AS lat,
-    avg(geolocation_lng) AS lng
+  SELECT geolocation_zip_code_prefix AS zip,
+    """ + ratio("sum(CAST(geolocation_lat AS DECIMAL(18,10)))", "count(geolocation_lat)") + """ AS lat,
+    """ + ratio("sum(CAST(geolocation_lng AS DECIMAL(18,10)))", "count(geolocation_lng)") + """ AS lng
   FROM k_geolocation GROUP BY 1) g ON c.customer_zip_code_prefix = g.zip""",
    ["k_customer", "k_geolocation"])
 _q("dim_seller", """
@@ -121,6 +122,11 @@ SELECT count(*) AS rows, count(*) - count(seller_id) AS seller_id_nulls,
   count(*) - count(review_score) AS review_score_nulls
 FROM v_w1""", ["v_w1"])
 
+_q("null_report_all", """
+SELECT column_name, n AS rows, n - filled AS nulls
+FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM v_w1) ON COLUMNS(*) INTO NAME column_name VALUE filled) AS filled_in,
+  (SELECT count(*) AS n FROM v_w1) AS whole""", ["v_w1"])
+
 # ----------------------------------------------------------------- measures
 _q("kpi_summary", f"""
 SELECT (SELECT CAST(sum(price) AS DECIMAL(38,2)) FROM m_fact) AS total_sales,

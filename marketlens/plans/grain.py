@@ -21,13 +21,19 @@ def per_order(df: DataFrame, *aggs) -> DataFrame:
     return df.groupBy("order_id").agg(*aggs)
 
 
-def items_per_order(t: dict[str, DataFrame]) -> DataFrame:
-    """ni = item rows, ni_ids = non-null positions, freight sum / count."""
+def per_order_items(t: dict[str, DataFrame], *more) -> DataFrame:
+    """ni = item rows, ni_ids = non-null positions, freight sum / count, and
+    ``more`` aggregates of the same pass."""
     return per_order(t["order_item"],
         F.count(F.lit(1)).alias("ni"),
         F.count("order_item_id").alias("ni_ids"),
         F.sum("freight_value").alias("freight_sum"),
-        F.count("freight_value").alias("freight_cnt"))
+        F.count("freight_value").alias("freight_cnt"), *more)
+
+
+def items_per_order(t: dict[str, DataFrame]) -> DataFrame:
+    """Item rows, positions and freight per order."""
+    return per_order_items(t)
 
 
 def payments_per_order(t: dict[str, DataFrame]) -> DataFrame:

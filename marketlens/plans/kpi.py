@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from marketlens.functions.columns import day_diff, fixed, pct, ratio
 from marketlens.functions.labels import NEGATIVE_SCORE
 from marketlens.operators.ranking import top_n
-from marketlens.operators.shares import conditional_share, period_growth
+from marketlens.operators.shares import conditional_share, period_growth, share_of_top_n
 from marketlens.plans import analysis as A
 from marketlens.plans.model import fact_order_items, with_calendar
 from marketlens.schema import MONEY_SUM
+from marketlens.session import materialize
 
 T = dict[str, DataFrame]
 ASC, DESC = F.asc_nulls_first, F.desc_nulls_last
@@ -49,21 +50,52 @@ def _unique_first_purchase(t: T) -> DataFrame:
 
 
 def kpi_summary(t: T) -> DataFrame:
-    """K1: headline figures in one row."""
-    f = fact_order_items(t)
-    sales = f.agg(F.sum("price").cast(MONEY_SUM).alias("total_sales"),
-                  F.countDistinct("order_id").alias("orders"))
-    sales = sales.select("total_sales", "orders",
-                         ratio("total_sales", "orders").alias("avg_ticket"))
-    cust = (f.select("customer_id").join(t["customer"], "customer_id", "inner")
-            .agg(F.countDistinct("customer_unique_id").alias("unique_customers")))
-    on_time = A.on_time_share(t).select("on_time_pct")
+    """K1: headline figures in one row.
+
+    Items, payments, orders and customers are read once and meet at order grain;
+    each order then gives a row for the whole, one for its customer and one
+    per item's seller (whose sales are the order's payments, as in the seller
+    view).  The rows of a kind are summed by their key, and customers on to their
+    number, so what is left is a row per seller and two more.
+    """
+    items = t["order_item"].groupBy("order_id").agg(
+        F.sum("price").alias("sales"), F.count(F.lit(1)).alias("lines"), F.collect_list("seller_id").alias("sellers"))
+    pay = t["order_payments"].groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
+    buyer = t["customer"].select("customer_id", F.col("customer_unique_id").alias("buyer"))
+    start, done, due = (F.col(f"order_{c}") for c in (
+        "purchase_timestamp", "delivered_customer_date", "estimated_delivery_date"))
+    j = (t["orders"].select("order_id", "customer_id", (day_diff(start, done) <= day_diff(start, due)).alias("on_time"))
+         .join(items, "order_id", "left").join(pay, "order_id", "left").join(buyer, "customer_id", "left"))
+    blank, sold = F.lit(None).cast("string"), F.col("lines").isNotNull()
+
+    def row(kind, key, amount, n, dated, on_time):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), amount.cast(MONEY_SUM).alias("amount"),
+                        n.cast("bigint").alias("n"), dated.cast("bigint").alias("dated"), on_time.cast("bigint").alias("on_time"))
+
+    none, zero = F.lit(None), F.lit(0)
+    whole = F.array(row("all", blank, F.col("sales"), sold.cast("int"), F.col("on_time").isNotNull().cast("int"),
+                        F.coalesce(F.col("on_time"), F.lit(False)).cast("int")))
+    buyers = F.filter(F.array(row("buyer", F.col("buyer"), none, zero, zero, zero)), lambda r: sold & F.col("buyer").isNotNull())
+    sellers = F.transform(F.coalesce("sellers", F.array().cast("array<string>")),
+                          lambda s: row("seller", s, F.col("paid"), zero, zero, zero))
+    sums = [F.sum(c).alias(c) for c in ("amount", "n", "dated", "on_time")]
+    keyed = (j.select(F.explode(F.concat(whole, buyers, sellers)).alias("r")).select("r.*")
+             .groupBy("kind", "key").agg(*sums))
+    known = keyed.join(t["sellers"].select(F.lit("seller").alias("kind"), F.col("seller_id").alias("key"), F.lit(True).alias("_known")),
+                       ["kind", "key"], "left").where((F.col("kind") != "seller") | F.col("_known"))
+    # a row per seller, one for all buyers, one for the whole
+    few = materialize(known.groupBy("kind", F.when(F.col("kind") != "buyer", F.col("key")).alias("key")).agg(
+        *sums, F.count(F.lit(1)).alias("keys")))
+    best = share_of_top_n(few.where("kind = 'seller'"), "amount", 10, [DESC("amount"), ASC("key")]).select(
+        pct("top_amount", "all_amount").alias("top10_seller_pct"))
+    head = few.agg(*[F.max(F.when(F.col("kind") == "all", F.col(c))).alias(c) for c in ("amount", "n", "dated", "on_time")],
+                   F.coalesce(F.max(F.when(F.col("kind") == "buyer", F.col("keys"))), F.lit(0)).alias("unique_customers"))
+    head = head.select(F.col("amount").alias("total_sales"), "unique_customers", F.coalesce("n", F.lit(0)).alias("orders"),
+                       ratio("amount", "n").alias("avg_ticket"), pct("on_time", "dated").alias("on_time_pct"))
     score = t["order_reviews"].agg(
         ratio(F.sum("review_score"), F.count("review_score")).alias("avg_review_score"))
-    top = A.top10_seller_concentration(t).select(F.col("top10_pct").alias("top10_seller_pct"))
-    out = _stack([sales, cust, on_time, score, top])
-    return out.select("total_sales", "unique_customers", "orders", "avg_ticket",
-                      "on_time_pct", "avg_review_score", "top10_seller_pct")
+    return _stack([head, score, best]).select("total_sales", "unique_customers", "orders", "avg_ticket",
+                                              "on_time_pct", "avg_review_score", "top10_seller_pct")
 
 
 def state_customer_share(t: T) -> DataFrame:
@@ -235,15 +267,15 @@ def sales_ytd_mtd(t: T) -> DataFrame:
 
 
 def sales_yoy(t: T) -> DataFrame:
-    """Monthly sales against the same month one year earlier (self
-    join on the shifted month, so gaps in the series stay correct)."""
+    """Monthly sales against the same month one year earlier: a range
+    frame over the year of each calendar month, so a month without sales
+    leaves a gap and never shifts the comparison."""
     ts = "order_purchase_timestamp"
     m = _sales_rows(t).where(F.col(ts).isNotNull()).groupBy(
         F.year(ts).alias("year"), F.month(ts).alias("month")).agg(
         F.sum("price").alias("sales"))
-    prev = m.select((F.col("year") + 1).alias("year"), "month",
-                    F.col("sales").alias("prev_year_sales"))
-    j = m.join(prev, ["year", "month"], "left")
+    year_before = Window.partitionBy("month").orderBy("year").rangeBetween(-1, -1)
+    j = m.withColumn("prev_year_sales", F.sum("sales").over(year_before))
     return j.select("year", "month", F.col("sales").cast(MONEY_SUM).alias("sales"),
                     F.col("prev_year_sales").cast(MONEY_SUM).alias("prev_year_sales"),
                     ratio(F.col("sales") - F.col("prev_year_sales"), "prev_year_sales", 100.0)

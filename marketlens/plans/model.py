@@ -8,10 +8,12 @@ first and the last purchase date.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.plans.grain import products_translated
+from marketlens.plans.grain import items_enriched, orders_with_customer
 from marketlens.functions.columns import (at_least_one, normalize_text, ratio,
                                           status_label)
 
@@ -60,11 +62,14 @@ def order_hub(t: T) -> DataFrame:
 
 
 def dim_customer(t: T) -> DataFrame:
-    """M3: customer with one point per zip (average of its points)."""
-    g = t["geolocation"].groupBy(F.col("geolocation_zip_code_prefix")
-                                 .alias("customer_zip_code_prefix")).agg(
-        F.avg("geolocation_lat").alias("geolocation_lat"),
-        F.avg("geolocation_lng").alias("geolocation_lng"))
+    """M3: customer with one point per zip: the average of its points, whose
+    coordinates are summed exactly at ten decimals, so that it is the same
+    whatever order the rows come in."""
+    def mean(c):
+        return ratio(F.sum(F.col(c).cast("decimal(18,10)")), F.count(c)).alias(c)
+
+    g = t["geolocation"].groupBy(F.col("geolocation_zip_code_prefix").alias("customer_zip_code_prefix")).agg(
+        mean("geolocation_lat"), mean("geolocation_lng"))
     c = t["customer"]
     return c.join(g, "customer_zip_code_prefix", "left").select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state",
@@ -158,34 +163,67 @@ def normalized_zones(t: T) -> DataFrame:
                     normalize_text("geolocation_state").alias("state")).distinct()
 
 
-def null_report(t: T) -> DataFrame:
-    """Nulls of seller, category and review score over the order-detail
-    view, counted factorised (per-order counts times the fan-out)."""
-    s = t["sellers"].select(F.col("seller_id").alias("_sid"))
-    p = products_translated(t).select(F.col("p_product_id").alias("_pid"),
-                                      F.col("category").alias("_cat"))
-    oi = t["order_item"]
-    items = (oi.join(p, oi["product_id"] == p["_pid"], "left")
-             .join(s, oi["seller_id"] == s["_sid"], "left")
-             .groupBy(oi["order_id"]).agg(
-                 F.count(F.lit(1)).alias("ni"),
-                 F.sum(F.col("_sid").isNull().cast("int")).alias("ni_no_seller"),
-                 F.sum(F.col("_cat").isNull().cast("int")).alias("ni_no_cat")))
-    pays = t["order_payments"].groupBy("order_id").agg(F.count(F.lit(1)).alias("np"))
-    revs = t["order_reviews"].groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("nr"), F.count("review_score").alias("nrv"))
-    j = (t["orders"].select("order_id").join(items, "order_id", "left")
-         .join(pays, "order_id", "left").join(revs, "order_id", "left"))
+# Columns of the order-detail view by the table that each comes from.
+DETAIL_GRAINS = {
+    "order": ["order_id", "order_status", "purchased_at", "approved_at", "handed_to_carrier_at",
+              "estimated_delivery_at", "delivered_at", "customer_id", "customer_zip", "customer_city", "customer_state"],
+    "item": ["ship_limit_at", "product_id", "category", "order_item_id", "price", "freight_value", "seller_id",
+             "seller_zip", "seller_city", "seller_state"],
+    "payment": ["payment_type", "payment_value"],
+    "review": ["review_score"],
+}
+
+
+def detail_null_counts(t: T, cols: Sequence[str]) -> DataFrame:
+    """One row: ``rows`` of the order-detail view and, per column of it,
+    ``<column>_nulls``, without forming the view.
+
+    Each column's nulls are counted per order at the grain of its table and
+    weighed with the rows of the other sides; a side without rows is one row of
+    nulls."""
+    asked = {g: [c for c in of if c in cols] for g, of in DETAIL_GRAINS.items()}
+    unknown = set(cols).difference(*asked.values())
+    if unknown:
+        raise ValueError(f"no columns of the order detail: {', '.join(sorted(unknown))}")
+
+    def side(df: DataFrame, grain: str, n: str) -> DataFrame:
+        return df.groupBy("order_id").agg(F.count(F.lit(1)).alias(n), *[
+            F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in asked[grain]])
+
+    of_product, of_seller = ({"product_id", "category"}, {c for c in DETAIL_GRAINS["item"] if c.startswith("seller")})
+    items = items_enriched(t, product=bool(of_product & set(cols)), seller=bool(of_seller & set(cols))) \
+        if (of_product | of_seller) & set(cols) else \
+        t["order_item"].withColumnRenamed("shipping_limit_date", "ship_limit_at")
+    customer = any(c.startswith("customer") for c in asked["order"])
+    orders = orders_with_customer(t) if customer else t["orders"].withColumnsRenamed({
+        "order_purchase_timestamp": "purchased_at", "order_approved_at": "approved_at",
+        "order_delivered_carrier_date": "handed_to_carrier_at", "order_estimated_delivery_date": "estimated_delivery_at",
+        "order_delivered_customer_date": "delivered_at"})
+    j = (orders.select("order_id", *[F.col(c).isNull().cast("int").alias(f"null_{c}") for c in asked["order"]])
+         .join(side(items, "item", "ni"), "order_id", "left")
+         .join(side(t["order_payments"], "payment", "np"), "order_id", "left")
+         .join(side(t["order_reviews"], "review", "nr"), "order_id", "left"))
     mi, mp, mr = at_least_one("ni"), at_least_one("np"), at_least_one("nr")
-    no_items = F.coalesce(F.col("ni"), F.lit(0)) == 0
-    no_revs = F.coalesce(F.col("nr"), F.lit(0)) == 0
-    seller_nulls = F.when(no_items, 1).otherwise(F.col("ni_no_seller")) * mp * mr
-    cat_nulls = F.when(no_items, 1).otherwise(F.col("ni_no_cat")) * mp * mr
-    score_nulls = F.when(no_revs, 1).otherwise(F.col("nr") - F.col("nrv")) * mi * mp
-    return j.agg(F.sum(mi * mp * mr).cast("bigint").alias("rows"),
-                 F.sum(seller_nulls).cast("bigint").alias("seller_id_nulls"),
-                 F.sum(cat_nulls).cast("bigint").alias("category_nulls"),
-                 F.sum(score_nulls).cast("bigint").alias("review_score_nulls"))
+    others = {"order": ("", mi * mp * mr), "item": ("ni", mp * mr), "payment": ("np", mi * mr), "review": ("nr", mi * mp)}
+    sums = []
+    for grain, (n, weight) in others.items():
+        for c in asked[grain]:
+            nulls = F.when(F.coalesce(F.col(n), F.lit(0)) == 0, 1).otherwise(F.col(f"null_{c}")) if n else F.col(f"null_{c}")
+            sums.append(F.sum(nulls * weight).cast("bigint").alias(f"{c}_nulls"))
+    return j.agg(F.sum(mi * mp * mr).cast("bigint").alias("rows"), *sums)
+
+
+def null_report(t: T) -> DataFrame:
+    """Nulls of seller, category and review score over the order-detail view."""
+    return detail_null_counts(t, ["seller_id", "category", "review_score"])
+
+
+def null_report_all(t: T) -> DataFrame:
+    """M11 for every column of the order-detail view, a row each."""
+    cols = [c for of in DETAIL_GRAINS.values() for c in of]
+    one = detail_null_counts(t, cols)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("rows"), F.col(f"{c}_nulls").alias("nulls"))
+                                          for c in cols])).alias("r")).select("r.*")
 
 
 QUERIES = {
@@ -200,4 +238,5 @@ QUERIES = {
     "status_labels": status_labels,
     "normalized_zones": normalized_zones,
     "null_report": null_report,
+    "null_report_all": null_report_all,
 }

@@ -38,6 +38,11 @@ def _reviews_per_order(t: T) -> DataFrame:
                                        F.col("score_cnt").alias("review_cnt"))
 
 
+def _delivered_orders(t: T) -> DataFrame:
+    return W.delivered_orders(t).withColumns({"order_paid": F.col("order_paid").cast(MONEY_SUM),
+                                              "order_items": F.col("order_items").cast("bigint")})
+
+
 QUERIES: dict[str, Callable[[T], DataFrame]] = {
     # V: setup checks
     **{f"pk_{tbl}": partial(V.pk_check, table=tbl) for tbl in PRIMARY_KEYS},
@@ -53,6 +58,9 @@ QUERIES: dict[str, Callable[[T], DataFrame]] = {
     **S.QUERIES,
     # W: views, their CTE operators and sample queries
     "orders_detail": W.orders_detail,
+    "customer_base": W.customer_base,
+    "payment_rows": W.payment_rows,
+    "delivered_orders": _delivered_orders,
     "customer_profile": W.customer_profile,
     "customer_profile_all": W.customer_profile_all,
     "customer_profile_clean": partial(W.customer_profile, clean=True),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.columns import (at_least_one, avg_days, day_diff, fixed,
                                           ratio)
 from marketlens.operators.ranking import top_n, top_n_per_group
-from marketlens.plans.grain import (items_enriched, items_per_order,
+from marketlens.plans.grain import (items_enriched, per_order_items,
                                     orders_with_customer, payments_per_order,
                                     reviews_per_order)
 from marketlens.schema import FREIGHT_SUM, MONEY_SUM
@@ -59,6 +59,20 @@ def orders_detail(t: T) -> DataFrame:
 
 
 # --------------------------------------------------------------------- W2
+def customer_base(t: T) -> DataFrame:
+    """W2 CTE: the unaggregated rows under the customer view, one per order x
+    item x payment x review of a known customer.  ``customer_profile`` gives the
+    sums over these rows without forming them."""
+    c = t["customer"].select("customer_id", F.col("customer_zip_code_prefix").alias("customer_zip"),
+                             "customer_city", "customer_state")
+    j = t["orders"].select("order_id", "customer_id").join(c, "customer_id", "inner")
+    for name, cols in (("order_item", ["order_item_id", "freight_value"]), ("order_payments", ["payment_value"]),
+                       ("order_reviews", ["review_score"])):
+        j = j.join(t[name].select("order_id", *cols), "order_id", "left")
+    return j.select("customer_id", "customer_zip", "customer_city", "customer_state", "order_item_id",
+                    "payment_value", "freight_value", "review_score")
+
+
 def customer_profile(t: T, clean: bool = False) -> DataFrame:
     """Per customer with orders: review count, distinct line positions
     bought, spend, freight and ratios.
@@ -68,7 +82,8 @@ def customer_profile(t: T, clean: bool = False) -> DataFrame:
     payment, freight and review once and ``items_bought`` counts item rows.
     """
     o = t["orders"].select("order_id", "customer_id")
-    per_order = (o.join(items_per_order(t), "order_id", "left")
+    items = per_order_items(t, F.collect_set("order_item_id").alias("positions"))
+    per_order = (o.join(items, "order_id", "left")
                  .join(payments_per_order(t), "order_id", "left")
                  .join(reviews_per_order(t), "order_id", "left"))
     mi, mp, mr = at_least_one("ni"), at_least_one("np"), at_least_one("nr")
@@ -84,19 +99,18 @@ def customer_profile(t: T, clean: bool = False) -> DataFrame:
     if clean:
         aggs.append(F.sum(F.coalesce(F.col("ni"), F.lit(0))).cast("bigint")
                     .alias("items_bought"))
+    if not clean:
+        # an order's figures stand on the row of its first position; the customer's distinct positions ignore the fan-out
+        per_order = per_order.select("*", F.posexplode_outer("positions").alias("_at", "position"))
+        first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+        aggs = [F.sum(F.when(first, spent)).alias("total_spent"), F.sum(F.when(first, freight)).alias("total_freight"),
+                F.sum(F.when(first, reviews)).cast("bigint").alias("review_count"),
+                F.countDistinct("position").alias("items_bought")]
     per_customer = per_order.groupBy("customer_id").agg(*aggs)
     c = t["customer"].select("customer_id",
                              F.col("customer_zip_code_prefix").alias("customer_zip"),
                              "customer_city", "customer_state")
     j = c.join(per_customer, "customer_id", "inner")
-    if not clean:
-        # a distinct count ignores the fan-out: positions of the customer's items
-        positions = (o.join(t["order_item"].select("order_id", "order_item_id"),
-                            "order_id", "inner")
-                     .groupBy("customer_id")
-                     .agg(F.countDistinct("order_item_id").alias("items_bought")))
-        j = j.join(positions, "customer_id", "left").withColumn(
-            "items_bought", F.coalesce(F.col("items_bought"), F.lit(0)).cast("bigint"))
     return j.select(
         "customer_id", "customer_zip", "customer_city", "customer_state",
         "review_count", "items_bought",
@@ -227,6 +241,16 @@ def top_product_rows(t: T, n: int = 10) -> DataFrame:
 
 
 # --------------------------------------------------------------------- W5
+def payment_rows(t: T) -> DataFrame:
+    """W5 CTE: the unaggregated rows under the payment view, one per payment x
+    item of an order with a known customer."""
+    place = orders_with_customer(t, "inner").select("order_id", "customer_state", "customer_city")
+    pay = t["order_payments"].select("order_id", "payment_type", "payment_value")
+    return (place.join(pay, "order_id", "inner")
+            .join(t["order_item"].select("order_id", "order_item_id"), "order_id", "inner")
+            .select("order_id", "order_item_id", "payment_type", "payment_value", "customer_state", "customer_city"))
+
+
 def payment_profile(t: T, clean: bool = False) -> DataFrame:
     """Per payment type x customer state x city: distinct orders, uses,
     amount.  Inner joins: orders need a customer, a payment and an item.
@@ -348,33 +372,35 @@ def zone_profile_clean(t: T) -> DataFrame:
     """W6 clean: one (city, state) per zip (smallest pair) and every
     delivered order counted once: amount once, items = item rows, review and
     freight averaged over the order's own rows, days averaged as a double."""
-    base = _delivered_orders_base(t)
-    pay = payments_per_order(t).select("order_id", "pay_sum")
-    its = items_per_order(t)
-    rev = reviews_per_order(t)
-    orders = (base.join(pay, "order_id", "inner").join(its, "order_id", "inner")
-              .join(rev, "order_id", "left"))
-    fr = t["order_item"].groupBy("order_id").agg(F.min("freight_value").alias("fmin"),
-                                                 F.max("freight_value").alias("fmax"))
-    per_zip = orders.join(fr, "order_id", "left").groupBy("zip").agg(
+    its = t["order_item"].groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("ni"), F.sum("freight_value").alias("freight_sum"),
+        F.count("freight_value").alias("freight_cnt"), F.min("freight_value").alias("fmin"),
+        F.max("freight_value").alias("fmax"), F.collect_set("seller_id").alias("sellers"))
+    orders = (_delivered_orders_base(t).join(payments_per_order(t).select("order_id", "pay_sum"), "order_id", "inner")
+              .join(its, "order_id", "inner").join(reviews_per_order(t), "order_id", "left"))
+    # an order's sellers are few; the zip's distinct ones come from the same rows, the order's figures on the first
+    rows = orders.select("*", F.posexplode_outer("sellers").alias("at", "seller_id"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+
+    def once(c):
+        return F.when(first, c)
+
+    score = ratio("score_sum", "score_cnt")
+    per_zip = rows.groupBy("zip").agg(
         F.countDistinct("customer_id").alias("customer_count"),
-        F.sum("pay_sum").alias("total_paid"), F.count("pay_sum").alias("_paid_n"),
-        F.count(F.lit(1)).alias("order_count"),
-        F.sum("ni").cast("bigint").alias("items_sold"),
-        F.sum(fixed(ratio("score_sum", "score_cnt"))).alias("_rs"),
-        F.count(ratio("score_sum", "score_cnt")).alias("_rn"),
+        F.countDistinct("seller_id").alias("seller_count"),
+        F.sum(once(F.col("pay_sum"))).alias("total_paid"), F.count(once(F.col("pay_sum"))).alias("_paid_n"),
+        F.count_if(first).alias("order_count"),
+        F.sum(once(F.col("ni"))).cast("bigint").alias("items_sold"),
+        F.sum(once(fixed(score))).alias("_rs"), F.count(once(score)).alias("_rn"),
         F.min("days").alias("days_min"), F.max("days").alias("days_max"),
-        F.sum("days").cast("bigint").alias("_days_sum"), F.count("days").alias("_days_n"),
+        F.sum(once(F.col("days"))).cast("bigint").alias("_days_sum"), F.count(once(F.col("days"))).alias("_days_n"),
         F.min("fmin").alias("freight_min"), F.max("fmax").alias("freight_max"),
-        F.sum("freight_sum").alias("_fsum"), F.sum("freight_cnt").alias("_fcnt"))
-    sellers = (base.select("order_id", "zip")
-               .join(t["order_item"].select("order_id", "seller_id"), "order_id", "inner")
-               .join(pay.select("order_id"), "order_id", "left_semi")
-               .groupBy("zip").agg(F.countDistinct("seller_id").alias("seller_count")))
+        F.sum(once(F.col("freight_sum"))).alias("_fsum"), F.sum(once(F.col("freight_cnt"))).alias("_fcnt"))
     zones = (unique_zips(t).groupBy("zip")
              .agg(F.min(F.struct("city", "state")).alias("_z"))
              .select("zip", F.col("_z.city").alias("city"), F.col("_z.state").alias("state")))
-    j = zones.join(per_zip, "zip", "left").join(sellers, "zip", "left")
+    j = zones.join(per_zip, "zip", "left")
     zero = F.lit(0).cast("bigint")
     return j.select(
         "state", "city", "zip",
@@ -413,7 +439,7 @@ def publish_views(t: T, prefix: str = "") -> list[str]:
 
 
 __all__ = [
-    "publish_views", "VIEW_NAMES",
+    "publish_views", "VIEW_NAMES", "customer_base", "payment_rows",
     "orders_detail", "customer_profile", "customer_profile_all", "items_per_seller",
     "seller_profile", "unique_items", "product_profile", "top_product_rows",
     "payment_profile", "top_city_by_payment", "unique_zips", "delivered_orders",

@@ -3,6 +3,7 @@ hand from the source definitions)."""
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.plans import analysis as A
@@ -201,3 +202,68 @@ def test_seller_review_average_keeps_all_digits(spark, handmade):
             want.setdefault(r.seller_id, []).append(mean)
     got = {r.seller_id: r.avg_review for r in seller_profile(three).collect() if r.avg_review is not None}
     assert got and got == {s: float(sum(want[s])) / len(want[s]) for s in got}
+
+
+def test_views_are_the_sums_over_their_unaggregated_rows(spark, handmade, t001):
+    """W2, W5 and W6 never form the rows of their CTEs; summed from those rows they are the same."""
+    from marketlens.plans import views as W
+    for t in (handmade[0], t001):
+        base = W.customer_base(t)
+        want = base.groupBy("customer_id").agg(
+            F.count("review_score").alias("review_count"), F.countDistinct("order_item_id").alias("items_bought"),
+            F.sum("payment_value").cast("decimal(38,2)").alias("total_spent"),
+            F.sum("freight_value").cast("decimal(38,4)").alias("total_freight"))
+        got = W.customer_profile(t).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        rows = W.payment_rows(t)
+        want = rows.groupBy("payment_type", "customer_state", "customer_city").agg(
+            F.countDistinct("order_id").alias("order_count"), F.count(F.lit(1)).alias("times_used"),
+            F.sum("payment_value").cast("decimal(38,2)").alias("total_paid"))
+        assert sorted(map(str, W.payment_profile(t).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        d = W.delivered_orders(t)
+        want = d.groupBy("zip").agg(F.countDistinct("customer_id").alias("customer_count"),
+                                    F.countDistinct("seller_id").alias("seller_count"),
+                                    F.countDistinct("order_id").alias("order_count"),
+                                    F.sum("order_paid").cast("decimal(38,2)").alias("total_paid"))
+        got = W.zone_profile(t).select(*want.columns).where("order_count > 0").distinct()
+        zips = {r[0] for r in t["geolocation"].select("geolocation_zip_code_prefix").collect()}
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.collect() if r.zip in zips)
+
+
+def test_null_counts_of_any_frame_and_of_the_detail(spark, handmade):
+    from marketlens.operators import null_counts
+    from marketlens.plans.model import DETAIL_GRAINS, detail_null_counts
+    from marketlens.plans.views import W1_COLUMNS, orders_detail
+    t, _ = handmade
+    assert sorted(c for of in DETAIL_GRAINS.values() for c in of) == sorted(W1_COLUMNS)
+    whole = {r.column_name: (r.rows, r.nulls) for r in null_counts(orders_detail(t)).collect()}
+    for cols in (W1_COLUMNS, ["payment_value"], ["customer_city", "price"], ["seller_state"], []):
+        row = detail_null_counts(t, cols).first()
+        assert {c: (row["rows"], row[f"{c}_nulls"]) for c in cols} == {c: whole[c] for c in cols}
+        assert row["rows"] == whole["order_id"][0]
+    with pytest.raises(ValueError, match="order_total"):
+        detail_null_counts(t, ["order_total"])
+    odd = spark.createDataFrame([(1, None), (None, None)], "`a.b` int, c string")
+    assert sorted(map(tuple, null_counts(odd).collect())) == [("a.b", 2, 1), ("c", 2, 2)]
+    assert [tuple(r) for r in null_counts(odd.limit(0), ["c"]).collect()] == [("c", 0, 0)]
+
+
+def test_a_zips_point_does_not_depend_on_the_order_of_rows(spark, handmade):
+    from marketlens.plans.model import dim_customer
+    t, _ = handmade
+    rows = [("01001", -23.0 - i / 7, 46.1 * (i % 3) - 1e-9 * i, "x", "SP") for i in range(500)] + [("01001", None, 1.5, "x", "SP")]
+    points = set()
+    for parts in (1, 3, 7):
+        g = spark.createDataFrame(rows[::parts] + [r for i, r in enumerate(rows) if i % parts], t["geolocation"].schema).repartition(parts)
+        points.add(tuple(dim_customer({**t, "geolocation": g}).where("customer_id = 'c1'").select(
+            "geolocation_lat", "geolocation_lng").first()))
+    (point,) = points
+    assert point == pytest.approx((-23.0 - 499 / 14, sum(r[2] for r in rows) / 501), abs=1e-9)
+
+
+def test_sales_yoy_over_a_gap(spark, handmade):
+    from marketlens.plans.kpi import sales_yoy
+    t, _ = handmade
+    rows = {(r.year, r.month): (r.sales, r.prev_year_sales) for r in sales_yoy(t).collect()}
+    assert all(prev == (rows[y - 1, m][0] if (y - 1, m) in rows else None) for (y, m), (_, prev) in rows.items())
+    assert "Join" not in sales_yoy({**t})._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
