@@ -3,6 +3,7 @@ filter and connected components."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,11 +16,16 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Where a session has none (tests, plain local runs) a folder beside the
-    session's warehouse, which is shared too, is set."""
+    Where a session has none, a folder beside its warehouse is set if that is
+    shared: on a file system of the cluster, or where driver and executors are one
+    process (tests, local runs).  Else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        local = re.match(r"local($|\[)", spark.sparkContext.master)
+        if not local and re.match(r"file:|/|[^:/]*(/|$)", warehouse):
+            raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a folder of this machine")
+        folder = warehouse + "/_work"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -28,22 +34,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, so a
-    lost executor costs a reread and never a rerun of what came before."""
+    lost executor costs a reread and never a rerun of what came before.  With
+    ``by``, its last column, a folder for each of that column's values."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.written_to)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -94,10 +106,12 @@ FILTER_BITS = 27              # 2^27 bits are 16 MiB
 _CHUNK_BITS = 20              # built in chunks of 128 KiB
 
 
+_MASK = np.uint64((1 << FILTER_BITS) - 1)
+
+
 def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys.view(np.uint64))
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+    return (h & _MASK).astype(np.int64), ((h >> np.uint64(32)) & _MASK).astype(np.int64)
 
 
 def _or_chunk(parts: list[bytes]) -> bytes:
@@ -147,10 +161,12 @@ def hash_filter(keys: DataFrame) -> np.ndarray:
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Boolean mask: False where a key is surely not in the filter."""
-    a, b = _positions(keys)
+    h = mix(keys.view(np.uint64))
+    a = (h & _MASK).astype(np.int64)
     hit = (bits[a >> 3] >> (a & 7).astype(np.uint8)) & 1
     at = np.flatnonzero(hit)
-    hit[at] = (bits[b[at] >> 3] >> (b[at] & 7).astype(np.uint8)) & 1
+    b = ((h[at] >> np.uint64(32)) & _MASK).astype(np.int64)
+    hit[at] = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1
     return hit.astype(bool)
 
 
