@@ -104,7 +104,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key, rows, queries):
         dim = key[0].as_py()
@@ -117,7 +117,8 @@ def _search(k: int):
         bar = np.where(np.isnan(bar), -np.inf, bar)
         score, ids = tree.search(qids, _matrix(queries.column("q_v"), dim), k, bar, bar_id)
         keep = np.isfinite(score)
-        return pa.table([pa.array(np.repeat(qids, k)[keep.ravel()]), pa.array(ids[keep]),
+        asked = [pa.array(np.repeat(x, k)[keep.ravel()]) for x in (queries.column("q_q").to_numpy(), qids)]
+        return pa.table([*asked, pa.array(ids[keep]),
                          pa.array(score[keep].astype(np.int64))], schema=schema)
     return run
 
@@ -129,35 +130,40 @@ def exact_topk(rows: DataFrame, is_query, k: int = 5, vector: str = "embedding",
     product of ``floor(scale * x)``, ties to the smaller vec_id.
 
     Rows with a null vec_id, a null vector or a null or non-finite component
-    take no part.  Rows of the query's own vec_id are never results.  Vectors
-    meet those of their own length only; empty ones score 0.  Scores are exact
-    below 2^53."""
+    take no part.  Rows of the query's own vec_id are never results.  Any other
+    row counts, equal ones too: a vec_id that is there three times can take three
+    places.  Query rows of equal vec_id and vector are one query; a vec_id with
+    several vectors is a query for each, with k rows for each.  Vectors meet
+    those of their own length only; empty ones score 0.  Scores are exact below
+    2^53."""
     parts = F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & F.forall(
         F.col(vector), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     v = rows.where(parts).select(
         F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("is_query"), F.size(vector).alias("dim"),
         F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     v = written(v, "vectors")
-    n, asked = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1))).first()
-    shards, blocks = max(2, -(-n // shard_rows)), max(1, -(-asked // query_rows))
+    # a query's number is fixed by being written
+    asked = written(v.where("is_query").select("vec_id", "dim", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+    n, m = v.count(), asked.count()
+    shards, blocks = max(2, -(-n // shard_rows)), max(1, -(-m // query_rows))
     data = (v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    ask = v.where("is_query").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    ask = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     no_bar = ask.withColumns({"bar_score": F.lit(None).cast("double"), "bar_id": F.lit(None).cast("long")})
     keys = ["dim", "shard", "block"]
-    out = "query_id long, vec_id long, score long"
+    out = "q long, query_id long, vec_id long, score long"
 
     def met(data: DataFrame, queries: DataFrame) -> DataFrame:
-        asking = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("vec_id", "v", "bar_score", "bar_id", *keys)])
+        asking = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("q", "vec_id", "v", "bar_score", "bar_id", *keys)])
         return data.select("vec_id", "v", *keys).groupBy(*keys).cogroup(
             asking.groupBy(*[f"q_{c}" for c in keys])).applyInArrow(_search(k), out)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     first = written(met(data.where("shard = 0"), no_bar.withColumn("shard", F.lit(0).cast("long"))), "first_shard")
     bars = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(
-        F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar_score"), F.col("vec_id").alias("bar_id"))
-    rest = (ask.join(bars, "vec_id", "left")
+        "q", F.col("score").cast("double").alias("bar_score"), F.col("vec_id").alias("bar_id"))
+    rest = (ask.join(bars, "q", "left")
             .withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long")))))
-    found = first.union(met(data.where("shard > 0"), rest)).distinct()
+    found = first.union(met(data.where("shard > 0"), rest))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
