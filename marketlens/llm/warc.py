@@ -19,6 +19,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -35,12 +36,16 @@ _SCHEMA = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.
 _COLUMNS = _SCHEMA.names
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")          # the URL name space of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+# A tag that doesn't end runs to the page's end, as in browsers; so no pattern looks twice for an end that isn't there.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*+(?:>|\Z).*?(?:</\1\s*+>|\Z)", re.S | re.I)
+_TITLE = re.compile(r"<title\b[^>]*+(?:>|\Z)(.*?)(</title\s*+>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|section|article|header|footer|nav|main|aside|"
-                    r"blockquote|pre|form|title|head|body|html|figure|figcaption|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.S | re.I)
+                    r"blockquote|pre|form|title|head|body|html|figure|figcaption|td|th)\b[^>]*+(?:>|\Z)", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*+(?:>|\Z)")
+_ANCHOR = re.compile(r"<a\b([^>]*+)", re.I)
+_HREF = re.compile(r"""\bhref\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s"']++))""", re.I)
+_CHARSET = re.compile(rb"""<meta\b[^>]{0,200}?\bcharset\s*=\s*["']?\s*([A-Za-z0-9_:.-]{1,40})""", re.I)
+_LINE_END = re.compile(r"[\r\n]+")
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -75,21 +80,65 @@ def page_facts(page: str, base: str) -> tuple[str, list[str]]:
     seen = _HIDDEN.sub(" ", page)
     m = _TITLE.search(seen)
     links = {}
-    for a, b, c in _LINK.findall(seen):
-        href = entities.unescape(a or b or c).strip()
+    for tag in _ANCHOR.finditer(seen):
+        found = _HREF.search(tag[1])
+        if not found:
+            continue
+        href = entities.unescape(found[1] or found[2] or found[3] or "").strip()
         try:
             href = urljoin(base, href)
         except ValueError:
             pass
         if href:
             links[href] = None
-    return (_BLANK.sub(" ", entities.unescape(m[1]).replace("\n", " ")).strip() if m else ""), list(links)
+    return (_BLANK.sub(" ", entities.unescape(m[1]).replace("\n", " ")).strip() if m and m[2] else ""), list(links)
+
+
+def dechunked(body: bytes) -> bytes:
+    """The data of a chunked body; from a malformed chunk on, nothing."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at, at + 1026)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 2:end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def decoded(fields: list[list[str]], payload: bytes, limit: int = 64 << 20) -> str:
+    """The page's text: transfer and content encodings undone, then read in the
+    charset that the header or the page names, UTF-8 where there is none or none
+    that is known.  A body that isn't what its header says is taken as it is; at
+    most ``limit`` bytes come out of a compressed one."""
+    last = {name.lower(): value.lower() for name, value in fields}
+    if "chunked" in last.get("transfer-encoding", ""):
+        payload = dechunked(payload) or payload
+    for coding in reversed([c.strip() for c in last.get("content-encoding", "").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload, limit)
+                break
+            except zlib.error:
+                continue
+    named = re.search(r"charset\s*=\s*[\"']?([a-z0-9_:.-]+)", last.get("content-type", ""))
+    inside = None if named else _CHARSET.search(payload[:4096])
+    charset = named[1] if named else inside[1].decode() if inside else "utf-8"
+    try:
+        return payload.decode(charset, "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
 
 
 def derivatives(row: dict) -> list[dict]:
-    """The metadata and the conversion record of one response row."""
+    """The metadata and the conversion record of one response row.  Digests and
+    sizes are those of the payload as it came, text and links those of the
+    decoded page."""
     first, fields, payload = split_http(row["block"] or b"")
-    page = payload.decode("utf-8", "replace")
+    page = decoded(fields, payload)
     target, source = row["target_uri"] or "", row["record_id"]
     title, links = page_facts(page, target)
     text = plain_text(page)
@@ -152,11 +201,12 @@ _FIELDS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-R
 
 
 def pack(row: dict) -> bytes:
-    """One gzip member holding one WARC/1.1 record."""
+    """One gzip member holding one WARC/1.1 record; line ends inside a field's
+    value become blanks."""
     block = row["block"] or b""
-    lines = ["WARC/1.1"] + [f"{name}: {row[c]}" for name, c in _FIELDS if row[c] is not None]
+    lines = ["WARC/1.1"] + [f"{name}: {_LINE_END.sub(' ', row[c])}" for name, c in _FIELDS if row[c] is not None]
     if row["warc_type"] != "response" and row["headers"]:
-        lines.append("X-Source-Headers: " + row["headers"])
+        lines.append("X-Source-Headers: " + _LINE_END.sub(" ", row["headers"]))
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""])
     return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
 
@@ -169,7 +219,8 @@ def unpack(stream) -> Iterator[dict]:
         fields = {}
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip()] = value.strip()
+            name, value = name.strip(), value.strip()
+            fields[name] = f"{fields[name]}, {value}" if name in fields else value           # a field may come again
         block = stream.read(int(fields.get("Content-Length", 0)))
         row = {c: fields.get(name) for name, c in _FIELDS}
         source = fields.pop("X-Source-Headers", None)
