@@ -152,8 +152,7 @@ def _enough(texts: DataFrame, longest: int, least: int, group: int = 64) -> np.n
 def window_counts(texts: DataFrame, bits, longest: int) -> DataFrame:
     """(lang, w1, .., n) of ``texts(lang, text)``: the longest windows, padded
     with '' after the last word of the piece and from where ``bits`` says that no
-    longer prefix counts; one row per window and part of the text, so that rows
-    add up."""
+    longer prefix counts; rows of equal windows add up."""
     columns = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +167,19 @@ def window_counts(texts: DataFrame, bits, longest: int) -> DataFrame:
                 at = at[may & (length[at] == k) & (length[at + (1 if k else 0)] >= k)]
                 length[at] = k + 1
             length = length[:-1]
-            # number equal windows: pairs of (number of the prefix, next word)
-            number = lang
-            for k in range(longest):
-                at = np.flatnonzero(length > k)
-                key = number * size + size - 1
-                key[at] = number[at] * size + ids[at + k]
-                number = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            _, head, n = np.unique(number, return_index=True, return_counts=True)
             names = pa.concat_arrays([words.dictionary, pa.array([""])])
+            pad = size - 1
+            # words alone, and places where none counts, are summed here; Spark sums the longer windows
+            alone = np.flatnonzero(length < 2)
+            _, at, n = np.unique(lang[alone] * size + np.where(length[alone], ids[alone], pad), return_index=True, return_counts=True)
+            head = np.concatenate([alone[at], np.flatnonzero(length > 1)])
             out = [langs.take(pa.array(lang[head]))]
             for k in range(longest):
                 has = length[head] > k
-                out.append(names.take(pa.array(np.where(has, ids[np.where(has, head + k, head)], size - 1))))
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n, pa.int64())], ["lang", *columns, "n"])
+                out.append(names.take(pa.array(np.where(has, ids[np.where(has, head + k, head)], pad))))
+            counts = np.ones(len(head), np.int64)
+            counts[:len(n)] = n
+            yield pa.RecordBatch.from_arrays([*out, pa.array(counts)], ["lang", *columns, "n"])
 
     return texts.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in columns)}, n long")
 
