@@ -17,8 +17,8 @@ from marketlens.operators.ranking import dense_rank_all, rank_by, top_n, top_n_r
 from marketlens.operators.shares import (conditional_share, period_growth,
                                          share_of_top_n)
 from marketlens.plans.grain import (delivery_days, fanout_weights, items_enriched,
-                                    items_per_order, orders_with_customer,
-                                    payments_per_order)
+                                    items_per_order, orders_with_customer, payments_per_order,
+                                    products_translated)
 from marketlens.plans.views import (customer_profile, payment_profile,
                                     product_profile, seller_profile, unique_items,
                                     zone_profile, zone_profile_clean)
@@ -109,8 +109,12 @@ def top_products_net_of_freight(t: T, n: int = 10) -> DataFrame:
     Factorised: a product's R view rows each meet its n items, so sales
     count m(n) times and each item's freight R times.
     """
-    w4 = product_profile(t).groupBy("product_id").agg(
-        F.sum("sales_total").alias("S"), F.count(F.lit(1)).alias("R"))
+    # a product has one category, so its view rows are its customer places; the view sums each (order, position,
+    # price) of a place once
+    place = orders_with_customer(t, "left").select("order_id", "customer_city", "customer_state")
+    lines = t["order_item"].select("order_id", "order_item_id", "product_id", "price").distinct()
+    w4 = (place.join(lines, "order_id", "left").groupBy("product_id", "customer_city", "customer_state")
+          .agg(F.sum("price").alias("S")).groupBy("product_id").agg(F.sum("S").alias("S"), F.count(F.lit(1)).alias("R")))
     it = t["order_item"].groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("freight_value").alias("Fr"))
     j = w4.join(it, "product_id", "left")
@@ -347,29 +351,26 @@ def review_score_by_category(t: T, clean: bool = False) -> DataFrame:
     """Q26: average review score per category with a grade label.
 
     Faithful: items meet the product view on product, so an item counts once
-    per view row of its product (R_p); factorised as weight R_p on the
-    order's score sum and count.  ``clean``: weight 1 and range grades.
+    per view row of its product (R = the product's customer places); factorised
+    as weight R on the product's score sum and count.  ``clean``: weight 1 and
+    range grades.  Items are read once, summed by product and place, and the
+    category is attached to products.
     """
+    scores = t["order_reviews"].where(F.col("review_score").isNotNull()).groupBy("order_id").agg(
+        F.sum("review_score").cast("bigint").alias("ss"), F.count(F.lit(1)).alias("sn"))
+    it = t["order_item"].select("order_id", "product_id")
     if clean:
-        cat = items_enriched(t, seller=False).select("order_id", "category") \
-            .join(t["orders"].select("order_id"), "order_id", "left_semi")
-        j = cat.where(F.col("category").isNotNull()).withColumn("R", F.lit(1))
+        rows = it.join(t["orders"].select("order_id"), "order_id", "left_semi").join(scores, "order_id", "inner")
+        products = rows.groupBy("product_id").agg(F.sum("ss").alias("ss"), F.sum("sn").alias("sn"), F.lit(1).alias("R"))
     else:
-        # R = product-view rows of the product = its distinct (category, place)
-        oc = orders_with_customer(t, "left").select("order_id", "customer_city",
-                                                    "customer_state")
-        places = (items_enriched(t, seller=False).where(F.col("category").isNotNull())
-                  .select("order_id", F.col("item_product_id").alias("product_id"), "category")
-                  .join(oc, "order_id", "inner")
-                  .select("product_id", "category", "customer_city", "customer_state").distinct())
-        w4 = places.groupBy("product_id", "category").agg(F.count(F.lit(1)).alias("R"))
-        it = t["order_item"].select("order_id", "product_id") \
-            .join(t["orders"].select("order_id"), "order_id", "left_semi")
-        j = it.join(w4, "product_id", "inner")
-    sc = t["order_reviews"].where(F.col("review_score").isNotNull()).groupBy("order_id").agg(
-        F.sum("review_score").cast("bigint").alias("ss"), F.count(F.lit(1)).alias("sn"))
-    g = j.join(sc, "order_id", "inner").groupBy("category").agg(
-        F.sum(F.col("ss") * F.col("R")).alias("s"), F.sum(F.col("sn") * F.col("R")).alias("c"))
+        place = orders_with_customer(t, "left").select("order_id", "customer_city", "customer_state")
+        rows = it.join(place, "order_id", "inner").join(scores, "order_id", "left")
+        products = rows.groupBy("product_id", "customer_city", "customer_state").agg(
+            F.sum("ss").alias("ss"), F.sum("sn").alias("sn")).groupBy("product_id").agg(
+            F.sum("ss").alias("ss"), F.sum("sn").alias("sn"), F.count(F.lit(1)).alias("R"))
+    named = products_translated(t).where(F.col("category").isNotNull())
+    g = products.join(named, products["product_id"] == named["p_product_id"], "inner").groupBy("category").agg(
+        F.sum(F.col("ss") * F.col("R")).alias("s"), F.sum(F.col("sn") * F.col("R")).alias("c")).where("c > 0")
     avg = ratio("s", "c")
     return g.select("category", avg.alias("avg_score"),
                     grade(avg, exact=not clean).alias("grade")) \

@@ -17,6 +17,7 @@ from marketlens.functions.labels import NEGATIVE_SCORE
 from marketlens.operators.ranking import top_n
 from marketlens.operators.shares import conditional_share, period_growth, share_of_top_n
 from marketlens.plans import analysis as A
+from marketlens.plans.grain import reviews_per_order
 from marketlens.plans.model import fact_order_items, with_calendar
 from marketlens.schema import MONEY_SUM
 from marketlens.session import materialize
@@ -228,14 +229,15 @@ def negative_reviews_by_status(t: T) -> DataFrame:
 
 
 def state_delivery_vs_score(t: T) -> DataFrame:
-    """Per customer state: average delivery days and average score."""
+    """Per customer state: average delivery days and average score, from
+    one row per order: its days, and the sum and count of its scores."""
     c = t["customer"].select("customer_id", F.col("customer_state").alias("state"))
-    r = t["order_reviews"].select("order_id", "review_score")
-    sc = (t["orders"].select("order_id", "customer_id").join(c, "customer_id", "inner")
-          .join(r, "order_id", "inner").groupBy("state")
-          .agg(ratio(F.sum("review_score"), F.count("review_score")).alias("avg_score")))
-    return _stack([_state_days(t), sc], by=["state"]).select("state", "avg_days",
-                                                             "avg_score")
+    o = t["orders"].select("order_id", "customer_id", day_diff(
+        "order_purchase_timestamp", "order_delivered_customer_date").alias("days"))
+    j = (o.join(reviews_per_order(t), "order_id", "left").where("days is not null or nr is not null")
+         .join(c, "customer_id", "inner"))
+    return j.groupBy("state").agg(ratio(F.sum("days"), F.count("days")).alias("avg_days"),
+                                  ratio(F.sum("score_sum"), F.sum("score_cnt")).alias("avg_score"))
 
 
 def five_star_share(t: T) -> DataFrame:
