@@ -195,7 +195,7 @@ def _seller_delivery_days(t: T, int_avg: bool) -> DataFrame:
     d = delivery_days(t).where(F.col("days") > 0).select("order_id", "days")
     it = items_enriched(t, product=False).where(F.col("seller_id").isNotNull()) \
         .select("order_id", "seller_id")
-    j = it.join(d, "order_id", "inner").join(fanout_weights(t), "order_id", "inner")
+    j = it.join(fanout_weights(t, orders=d), "order_id", "inner")
     g = j.groupBy("seller_id").agg(F.sum(F.col("days") * F.col("w")).alias("s"),
                                    F.sum("w").alias("c"))
     return g.select("seller_id", avg_days("s", "c", int_avg).alias("avg_days"))
@@ -249,18 +249,16 @@ def delivery_days_by_category(t: T, int_avg: bool = True) -> DataFrame:
     """Q17: average days per category over order-detail rows."""
     it = items_enriched(t, seller=False).where(F.col("category").isNotNull()) \
         .select("order_id", "category")
-    j = (it.join(delivery_days(t).select("order_id", "days"), "order_id", "inner")
-         .join(fanout_weights(t), "order_id", "inner"))
-    return _weighted_days(j, ["category"], int_avg)
+    days = fanout_weights(t, orders=delivery_days(t).select("order_id", "days"))
+    return _weighted_days(it.join(days, "order_id", "inner"), ["category"], int_avg)
 
 
 def delivery_days_by_state_category(t: T, int_avg: bool = True) -> DataFrame:
     """Q18: average days per customer state and category (null kept)."""
-    oc = orders_with_customer(t, "left").select("order_id", "customer_state")
+    oc = orders_with_customer(t, "left").select(
+        "order_id", "customer_state", day_diff("purchased_at", "delivered_at").alias("days"))
     it = items_enriched(t, seller=False).select("order_id", "category")
-    j = (oc.join(it, "order_id", "left")
-         .join(delivery_days(t).select("order_id", "days"), "order_id", "inner")
-         .join(fanout_weights(t), "order_id", "inner"))
+    j = fanout_weights(t, orders=oc).join(it, "order_id", "left")
     return _weighted_days(j, ["customer_state", "category"], int_avg)
 
 

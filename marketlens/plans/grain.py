@@ -53,11 +53,12 @@ def reviews_per_order(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def fanout_weights(t: dict[str, DataFrame], payments: bool = True,
-                   reviews: bool = True) -> DataFrame:
-    """Per order: m(np) * m(nr), the rows one item row of the order-detail
-    view stands for (only the sides asked for)."""
-    o = t["orders"].select("order_id")
-    w = F.lit(1).cast("bigint")
+                   reviews: bool = True, orders: DataFrame | None = None) -> DataFrame:
+    """Per order: ``w`` = m(np) * m(nr), the rows one item row of the
+    order-detail view stands for (only the sides asked for), beside the columns
+    of ``orders`` (default: the ids alone), which are so read once."""
+    o = t["orders"].select("order_id") if orders is None else orders
+    kept, w = o.columns, F.lit(1).cast("bigint")
     if payments:
         o = o.join(t["order_payments"].groupBy("order_id").agg(
             F.count(F.lit(1)).alias("np")), "order_id", "left")
@@ -66,7 +67,7 @@ def fanout_weights(t: dict[str, DataFrame], payments: bool = True,
         o = o.join(t["order_reviews"].groupBy("order_id").agg(
             F.count(F.lit(1)).alias("nr")), "order_id", "left")
         w = w * at_least_one("nr")
-    return o.select("order_id", w.alias("w"))
+    return o.select(*kept, w.alias("w"))
 
 
 def products_translated(t: dict[str, DataFrame]) -> DataFrame:

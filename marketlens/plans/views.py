@@ -149,13 +149,13 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     that), and units are distinct line positions.  ``clean`` takes each
     (seller, order) once and counts item rows as units.
 
-    Plan: item rows are first reduced to (seller, order) with their count k
-    -- the order's customer and place are fixed per order, and order_id is
-    in the key, so this runs partition-locally after the order-bucketed
-    join.  Per-item sums become k-weighted sums; only the customer / city /
-    state distinct counts remain, on the smaller grain.  Positions are
-    counted from a narrow (seller, position) distinct.  The seller id is the
-    seller table's key, so the place is attached after aggregating.
+    Plan: item rows are first reduced to (seller, order) with their count k and
+    their positions -- the order's customer and place are fixed per order, and
+    order_id is in the key, so this runs partition-locally after the
+    order-bucketed join.  Per-item sums become k-weighted sums on the row of
+    the pair's first position; customers, cities, states and positions are
+    distinct counts of the same rows.  The seller id is the seller table's key,
+    so the place is attached after aggregating.
     """
     pay = payments_per_order(t).select("order_id", "pay_sum")
     rev = reviews_per_order(t).select("order_id", "score_cnt",
@@ -166,29 +166,31 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     oc = orders_with_customer(t, "left").select("order_id", "customer_id",
                                                 "customer_city", "customer_state")
     # unknown sellers leave with the join of the place below
-    i = oi.join(oc, "order_id", "inner")
-    so = i.groupBy("seller_id", "order_id", "customer_id", "customer_city",
-                   "customer_state").agg(F.count(F.lit(1)).alias("k"))
+    so = oi.join(oc, "order_id", "inner").groupBy(
+        "seller_id", "order_id", "customer_id", "customer_city", "customer_state").agg(
+        F.count(F.lit(1)).alias("k"), *([] if clean else [F.collect_set("order_item_id").alias("positions")]))
     j = so.join(pay, "order_id", "left").join(rev, "order_id", "left")
-    k = F.lit(1) if clean else F.col("k")
+    if clean:
+        first, k, units = F.lit(True), F.lit(1), F.sum("k").cast("bigint")
+    else:
+        j = j.select("*", F.posexplode_outer("positions").alias("_at", "position"))
+        first, k, units = F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("k"), F.countDistinct("position")
+
+    def once(c):
+        return c if clean else F.when(first, c)
+
     g = j.groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("order_count"),
+        F.count_if(first).alias("order_count"), units.alias("unit_count"),
         F.countDistinct("customer_id").alias("customer_count"),
         F.countDistinct("customer_city").alias("city_count"),
         F.countDistinct("customer_state").alias("state_count"),
-        F.sum(F.col("pay_sum") * k).alias("total_sales"),
-        F.sum(F.col("score_cnt") * k).cast("bigint").alias("review_total"),
+        F.sum(once(F.col("pay_sum") * k)).alias("total_sales"),
+        F.sum(once(F.col("score_cnt") * k)).cast("bigint").alias("review_total"),
         # a score's average has one digit before the point: times a bigint it
         # stays within decimal(38) without losing any of the nine after it
-        F.sum(F.col("avg_score").cast("decimal(12,9)") * k).alias("_rs"),
-        F.sum(F.when(F.col("avg_score").isNotNull(), k)).alias("_rn"),
-        F.sum("k").cast("bigint").alias("_items"))
-    if clean:
-        units = g.select("seller_id", F.col("_items").alias("unit_count"))
-    else:
-        units = (i.select("seller_id", "order_item_id").where(F.col("order_item_id").isNotNull())
-                 .distinct().groupBy("seller_id").agg(F.count(F.lit(1)).alias("unit_count")))
-    out = s.join(g, "seller_id", "inner").join(units, "seller_id", "left")
+        F.sum(once(F.col("avg_score").cast("decimal(12,9)") * k)).alias("_rs"),
+        F.sum(once(F.when(F.col("avg_score").isNotNull(), k))).alias("_rn"))
+    out = s.join(g, "seller_id", "inner")
     return out.select(
         "seller_id", "seller_zip", "seller_city", "seller_state",
         "order_count", F.coalesce("unit_count", F.lit(0)).cast("bigint").alias("unit_count"),
