@@ -15,7 +15,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
                     max_rows: int, seed: int = 11) -> DataFrame:
     """(text, y) of at most ``max_rows`` documents with a 0/1 ``label`` outside
     the held-out part, chosen by hash of the id: half of each label where there
-    are enough.  Only ids of the sample are broadcast, ``max_rows`` at most."""
+    are enough.  Only ids of the sample are broadcast, ``max_rows`` at most; an
+    id that comes with several texts gives its smallest one, so the rows stay
+    within the bound however often ids repeat."""
     rows = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
             .groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -24,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     ones = rows.where("y = 1").orderBy("h", "doc_id").limit(max_rows // 2)
     zeros = rows.where("y = 0").orderBy("h", "doc_id").limit(max_rows // 2)
     chosen = F.broadcast(ones.union(zeros).drop("h"))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def prior(labels: DataFrame, label: str, parts: int, held_out: int) -> tuple[int, int]:
