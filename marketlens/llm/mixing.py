@@ -57,32 +57,37 @@ def schedule(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple]:
 
 
 def mix_sources(docs: DataFrame, shares: dict[str, int], other_share: int = 1, block_chars: int = 1 << 18,
-                buckets: int = 1024, seed: int = 7) -> DataFrame:
+                buckets: int = 1024, bucket_chars: int = 64 << 20, seed: int = 7) -> DataFrame:
     """All columns of ``docs(doc_id, text, source, ...)`` plus ``mix_class``,
     ``block``, ``phase``, ``slot`` and ``offset`` (of the document in its class,
     in code points): read in order of (slot, offset) the rows are the mix.
 
     Sources (null included) that ``shares`` doesn't list form one class ``*``
-    with ``other_share``.  A document belongs to the block where it starts; a
+    with ``other_share``; a share below 1 is a ValueError.  A document belongs to the block where it starts; a
     longer one fills the following blocks too.  Null or empty texts have length
     0.  Rows that repeat a doc_id are placed each on its own; equal ones share a
     place's order.  Input columns of the output's names are replaced."""
     spark = docs.sparkSession
     docs = docs.drop("mix_class", "block", "phase", "slot", "offset")
-    given = {k: int(v) for k, v in shares.items() if int(v) > 0}
+    given = {k: int(v) for k, v in shares.items()}
+    wrong = [k for k, v in {**given, OTHER: other_share}.items() if v < 1]
+    if wrong:
+        raise ValueError(f"shares below 1: {', '.join(wrong)}")
     cls = F.when(F.col("source").isin(list(given)), F.col("source")).otherwise(F.lit(OTHER))
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), "doc_id")
+    totals = {r[0]: r[1] for r in docs.groupBy(cls).agg(F.sum(size)).collect()}             # a row per listed source
+    plan = schedule({**given, OTHER: other_share}, {s: n // block_chars + 1 for s, n in totals.items()})
+    # a source may hold a third of all rows: its running length is summed by bucket, then within each bucket, and there
+    # are as many more buckets as the largest source asks for
+    buckets = max(buckets, max(totals.values(), default=0) // bucket_chars + 1)
     at = (docs.withColumn("mix_class", cls).withColumn("_size", size).withColumn("_key", key)
           .withColumn("_bucket", F.pmod("_key", F.lit(buckets))))
-    # a source may hold a third of all rows: its running length is summed by bucket, then within each bucket
     sums = (docs.select(cls.alias("mix_class"), F.pmod(key, F.lit(buckets)).alias("_bucket"), size.alias("_size"))
             .groupBy("mix_class", "_bucket").agg(F.sum("_size").alias("_sum")))
     before = Window.partitionBy("mix_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("mix_class", "_bucket", "_sum",
                          F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    totals = {r[0]: r[1] for r in sums.groupBy("mix_class").agg(F.sum("_sum")).collect()}   # a row per listed source
-    plan = schedule({**given, OTHER: other_share}, {s: n // block_chars + 1 for s, n in totals.items()})
     # at most (sources + 1)^2 rows, each with at most the sum of the shares: bounded by the parameters
     table = F.broadcast(spark.createDataFrame(
         plan, "_class string, phase int, _from long, _to long, _slot0 long, _share long, _period long, _slots array<long>"))
