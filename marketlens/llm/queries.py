@@ -95,6 +95,20 @@ QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_line_dedup, op4_toxicity, op5_mixing, op6_decontaminate, op7_quality,
     op8_license_scan, op9_warc, op10_exact_topk, op11_phrases, op12_pii, op13_whitening)}
 
+_JOIN_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT DISTINCT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node AND r.root < e.y),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id"""
+
 _LINE_SQL = """
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
@@ -141,6 +155,7 @@ SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DE
 FROM b QUALIFY rank <= 2000"""
 
 ORACLE_SQL = {
+    "op1_ngram_join": _JOIN_SQL,
     "op3_line_dedup": _LINE_SQL,
     "op8_license_scan": licenses.license_sql(),
     "op10_exact_topk": _TOPK_SQL,
