@@ -328,6 +328,47 @@ def test_mix_sources(spark):
     assert mixing.mix_sources(docs.limit(0), shares).count() == 0
 
 
+def pfair(shares, blocks):
+    """Slot by slot: of the sources whose next block is released, the one with the earliest deadline; when a source has
+    given its last block, the others begin anew."""
+    out, left, done = [], {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
+    while left:
+        total, taken, t = sum(shares[s] for s in left), dict.fromkeys(left, 0), 0
+        while all(left.values()):
+            due = {s: -((taken[s] + 1) * total // -shares[s]) for s in left if taken[s] * total // shares[s] <= t}
+            s = min(due, key=lambda s: (due[s], s))
+            out.append((s, done[s]))
+            taken[s], done[s], left[s], t = taken[s] + 1, done[s] + 1, left[s] - 1, t + 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_mix_against_a_schedule_made_slot_by_slot(spark):
+    rng = random.Random(16)
+    shares, other = {"a": 5, "b": 3, "c": 2, "d": 1}, 2
+    rows = [(i, "x" * rng.randrange(0, 80), rng.choice(["a", "a", "b", "c", "d", "zz", None])) for i in range(900)]
+    docs = docs_of(spark, rows, DOCS + ", source string")
+    blocks = {}
+    for _, t, s in rows:
+        s = s if s in shares else "*"
+        blocks[s] = blocks.get(s, 0) + len(t)
+    want = pfair({**shares, "*": other}, {s: n // 100 + 1 for s, n in blocks.items()})
+    out = mixing.mix_sources(docs, shares, other, block_chars=100, bucket_chars=700).collect()
+    assert len(out) == 900 and {(r["mix_class"], r["block"]) for r in out} == {want[r["slot"]] for r in out}
+    assert all(want[r["slot"]] == (r["mix_class"], r["block"]) for r in out)
+    for bad in ({"a": 0}, {"a": -1}):
+        with pytest.raises(ValueError, match="a"):
+            mixing.mix_sources(docs, bad)
+
+
+def test_training_rows_stay_within_their_bound(spark):
+    from marketlens.llm.training import labelled_sample
+    docs = docs_of(spark, [(i % 4, f"text {i}") for i in range(400)] + [(5, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)] * 2 + [(None, 1), (2, None)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 5, 9, 6).collect()
+    assert sorted((r["text"] or "", r["y"]) for r in rows) == [("", 1), ("text 0", 0), ("text 1", 1), ("text 10", 0), ("text 103", 1)]
+
+
 # --------------------------------------------------------- 6 decontamination
 
 ITEM = "In spring Tom bought 12 apples and 7 pears for 30 dollars then gave 5 apples to Anna before the market closed at noon"
