@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from marketlens.llm.queries import OTHER_SHARE, SOURCE_SHARES, table
-from marketlens.llm.shared import written
+from marketlens.llm.shared import discard, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,13 +63,15 @@ STAGES = [
     ("mixing sources", mixing_stage),
 ]
 
-#: A fitted classifier, set joins and a schedule are not expressible in SQL;
-#: tests/llm holds the rows against a brute-force version.
+#: The first stage's fitted classifier is not expressible in SQL; tests/llm
+#: holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "pipeline")
+        discard(*before)                                 # what the last stage has read
+        before = [docs]
     return docs
