@@ -126,7 +126,7 @@ def database_tables(t: T) -> DataFrame:
     create_database(spark, f"{DATABASE}_new", drop=True)
     spark.catalog.setCurrentDatabase(before)
     stage_tables(spark, t, f"{DATABASE}_new", BUCKETS, new_folder(spark, "staged"))
-    return spark.sql(f"SHOW TABLES IN {DATABASE}_new").select(F.col("tableName").alias("table_name"))
+    return spark.sql(f"SHOW TABLES IN {DATABASE}_new").where("not isTemporary").select(F.col("tableName").alias("table_name"))
 
 
 def views_published(t: T) -> DataFrame:
