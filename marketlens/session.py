@@ -7,6 +7,7 @@ platform; only tests and the local benchmark build one here.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -82,9 +83,15 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; where a session
-    has none, a folder in its warehouse, which is shared too."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.  Where a session
+    has none, a folder in its warehouse if that is shared: on a file system of
+    the cluster, or where driver and executors are one process.  Else it is an
+    error, as executors would not see each other's files."""
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        local = re.match(r"local($|\[)", spark.sparkContext.master)
+        if not local and re.match(r"file:|/|[^:/]*(/|$)", warehouse):
+            raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a folder of this machine")
     return ensure_checkpoint_dir(spark, f"{warehouse}/_checkpoints")
 
 

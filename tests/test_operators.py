@@ -158,3 +158,25 @@ def test_key_report_reads_each_table_once_and_shuffles_once(spark):
         key_report({"p": p}, {"p": ["id", "id2"]}, {})
     empty = key_report({"p": p.limit(0), "c": c.limit(0)}, primary, foreign, derived={"zone": "c"})
     assert {tuple(r)[2:] for r in empty.collect()} == {(0, 0)}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from marketlens.session import shared_folder
+
+    class Conf(dict):
+        def get(self, key, *default):
+            return dict.get(self, key, *default)
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda s: None,
+                                                     "setCheckpointDir": lambda s, d: None})()
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+            self.conf.set = self.conf.__setitem__
+
+    for warehouse in ("file:/x", "/x", "spark-warehouse"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(Session("yarn", spark_sql_warehouse_dir=warehouse))
+        assert shared_folder(Session("local[4]", spark_sql_warehouse_dir=warehouse)).startswith(warehouse)
+    assert shared_folder(Session("yarn", spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_checkpoints"
+    assert shared_folder(Session("yarn", spark_sql_warehouse_dir="/x", spark_checkpoint_dir="s3a://b/c")) == "s3a://b/c"
