@@ -95,6 +95,18 @@ def test_ngram_join(spark, limits):
     assert got == brute_components(rows, limits.get("percent", 80))
 
 
+def test_ngram_join_sends_small_batches(spark):
+    """Every Python worker and its task hold a batch or two outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        assert ngram_join.jaccard_components(docs_of(spark, [(1, "a b"), (2, "A  B")])).count() == 2
+        assert int(spark.conf.get(key)) <= 2 << 20
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_ngram_join_of_shared_sentences(spark, monkeypatch):
     """Sets of one n-gram meet, not all that hang together over others: what is
     walked grows with the documents, not with their square."""
