@@ -107,6 +107,13 @@ def test_ngram_join_sends_small_batches(spark):
         spark.conf.set(key, old)
 
 
+def test_ngram_join_remembers_few_words():
+    known = ngram_join.WordHashes()
+    for i in range(120_000):
+        known[b"w%d" % i]
+        assert len(known) <= 50_000
+
+
 def test_ngram_join_of_shared_sentences(spark, monkeypatch):
     """Sets of one n-gram meet, not all that hang together over others: what is
     walked grows with the documents, not with their square."""
