@@ -11,7 +11,7 @@ Output names are English; column order follows the source views.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import (at_least_one, avg_days, day_diff, fixed,
@@ -82,7 +82,7 @@ def customer_profile(t: T, clean: bool = False) -> DataFrame:
     payment, freight and review once and ``items_bought`` counts item rows.
     """
     o = t["orders"].select("order_id", "customer_id")
-    items = per_order_items(t, F.collect_set("order_item_id").alias("positions"))
+    items = per_order_items(t, F.sort_array(F.collect_set("order_item_id")).alias("positions"))
     per_order = (o.join(items, "order_id", "left")
                  .join(payments_per_order(t), "order_id", "left")
                  .join(reviews_per_order(t), "order_id", "left"))
@@ -94,18 +94,11 @@ def customer_profile(t: T, clean: bool = False) -> DataFrame:
         spent = F.col("pay_sum") * mi * mr
         freight = F.col("freight_sum") * mp * mr
         reviews = nrv * mi * mp
+    # orders have few different sets of positions, so the customer's are few too
+    bought = (F.sum(F.coalesce(F.col("ni"), F.lit(0))) if clean else
+              F.size(F.array_distinct(F.flatten(F.collect_set("positions")))))
     aggs = [F.sum(spent).alias("total_spent"), F.sum(freight).alias("total_freight"),
-            F.sum(reviews).cast("bigint").alias("review_count")]
-    if clean:
-        aggs.append(F.sum(F.coalesce(F.col("ni"), F.lit(0))).cast("bigint")
-                    .alias("items_bought"))
-    if not clean:
-        # an order's figures stand on the row of its first position; the customer's distinct positions ignore the fan-out
-        per_order = per_order.select("*", F.posexplode_outer("positions").alias("_at", "position"))
-        first = F.coalesce(F.col("_at"), F.lit(0)) == 0
-        aggs = [F.sum(F.when(first, spent)).alias("total_spent"), F.sum(F.when(first, freight)).alias("total_freight"),
-                F.sum(F.when(first, reviews)).cast("bigint").alias("review_count"),
-                F.countDistinct("position").alias("items_bought")]
+            F.sum(reviews).cast("bigint").alias("review_count"), bought.cast("bigint").alias("items_bought")]
     per_customer = per_order.groupBy("customer_id").agg(*aggs)
     c = t["customer"].select("customer_id",
                              F.col("customer_zip_code_prefix").alias("customer_zip"),
@@ -149,51 +142,59 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     that), and units are distinct line positions.  ``clean`` takes each
     (seller, order) once and counts item rows as units.
 
-    Plan: item rows are first reduced to (seller, order) with their count k and
-    their positions -- the order's customer and place are fixed per order, and
-    order_id is in the key, so this runs partition-locally after the
-    order-bucketed join.  Per-item sums become k-weighted sums on the row of
-    the pair's first position; customers, cities, states and positions are
-    distinct counts of the same rows.  The seller id is the seller table's key,
-    so the place is attached after aggregating.
+    Plan: item rows are dealt out once by seller and customer city, narrow, and
+    lie there by state, customer and order.  A row that differs from the one
+    before begins a city, customer or order, so these are counted without a copy
+    of the rows for each.  What then goes to the seller is one row per city and
+    state, and the few states and positions as sets.  The seller id is the seller
+    table's key, so the place is attached after aggregating.
     """
     pay = payments_per_order(t).select("order_id", "pay_sum")
     rev = reviews_per_order(t).select("order_id", "score_cnt",
                                       _review_avg().alias("avg_score"))
     s = t["sellers"].select("seller_id", F.col("seller_zip_code_prefix").alias("seller_zip"),
                             "seller_city", "seller_state")
-    oi = t["order_item"].select("seller_id", "order_id", "order_item_id")
-    oc = orders_with_customer(t, "left").select("order_id", "customer_id",
-                                                "customer_city", "customer_state")
+    oi = t["order_item"].select("seller_id", "order_id", *([] if clean else ["order_item_id"]))
+    # a customer of several places is counted in the first one only
+    places = Window.partitionBy("c_customer_id").orderBy("customer_city", "customer_state")
+    c = t["customer"].where("customer_id is not null").select(
+        F.col("customer_id").alias("c_customer_id"), "customer_city", "customer_state").withColumn(
+        "counts", F.rank().over(places) == 1)
+    o = t["orders"].select("order_id", "customer_id")
+    oc = o.join(c, o["customer_id"] == c["c_customer_id"], "left").drop("customer_id")
     # unknown sellers leave with the join of the place below
-    so = oi.join(oc, "order_id", "inner").groupBy(
-        "seller_id", "order_id", "customer_id", "customer_city", "customer_state").agg(
-        F.count(F.lit(1)).alias("k"), *([] if clean else [F.collect_set("order_item_id").alias("positions")]))
-    j = so.join(pay, "order_id", "left").join(rev, "order_id", "left")
-    if clean:
-        first, k, units = F.lit(True), F.lit(1), F.sum("k").cast("bigint")
-    else:
-        j = j.select("*", F.posexplode_outer("positions").alias("_at", "position"))
-        first, k, units = F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("k"), F.countDistinct("position")
-
-    def once(c):
-        return c if clean else F.when(first, c)
-
-    g = j.groupBy("seller_id").agg(
-        F.count_if(first).alias("order_count"), units.alias("unit_count"),
-        F.countDistinct("customer_id").alias("customer_count"),
-        F.countDistinct("customer_city").alias("city_count"),
-        F.countDistinct("customer_state").alias("state_count"),
-        F.sum(once(F.col("pay_sum") * k)).alias("total_sales"),
-        F.sum(once(F.col("score_cnt") * k)).cast("bigint").alias("review_total"),
-        # a score's average has one digit before the point: times a bigint it
-        # stays within decimal(38) without losing any of the nine after it
-        F.sum(once(F.col("avg_score").cast("decimal(12,9)") * k)).alias("_rs"),
-        F.sum(once(F.when(F.col("avg_score").isNotNull(), k))).alias("_rn"))
+    j = oi.join(oc, "order_id", "inner").join(pay, "order_id", "left").join(rev, "order_id", "left")
+
+    lies = Window.partitionBy("seller_id", "customer_city").orderBy("customer_state", "c_customer_id", "order_id")
+    before = F.lag(F.struct("customer_state", "c_customer_id", "order_id")).over(lies)
+    j = j.withColumn("before", before).select(
+        "*", F.col("before").isNull().alias("new_city"),
+        (F.col("before").isNull() | ~F.col("before.customer_state").eqNullSafe(F.col("customer_state"))
+         | ~F.col("before.c_customer_id").eqNullSafe(F.col("c_customer_id"))).alias("new_customer")).withColumn(
+        "new_order", F.col("new_customer") | ~F.col("before.order_id").eqNullSafe(F.col("order_id")))
+
+    def once(col):
+        return F.when(F.col("new_order"), F.col(col)) if clean else F.col(col)
+
+    per_place = j.groupBy("seller_id", "customer_city", "customer_state").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if("new_order").alias("orders"),
+        F.count_if(F.col("new_customer") & F.col("counts")).alias("customers"),
+        F.count_if(F.col("new_city") & F.col("customer_city").isNotNull()).alias("cities"),
+        F.sum(once("pay_sum")).alias("sales"), F.sum(once("score_cnt")).alias("reviews"),
+        # a score's average has one digit before the point
+        F.sum(once("avg_score").cast("decimal(12,9)")).alias("rs"), F.count(once("avg_score")).alias("rn"),
+        *([] if clean else [F.sort_array(F.collect_set("order_item_id")).alias("positions")]))
+    units = F.sum("items") if clean else F.size(F.array_distinct(F.flatten(F.collect_set("positions"))))
+    g = per_place.groupBy("seller_id").agg(
+        F.sum("orders").alias("order_count"), units.cast("bigint").alias("unit_count"),
+        F.sum("customers").alias("customer_count"), F.sum("cities").alias("city_count"),
+        F.size(F.collect_set("customer_state")).cast("bigint").alias("state_count"),
+        F.sum("sales").alias("total_sales"), F.sum("reviews").cast("bigint").alias("review_total"),
+        F.sum("rs").alias("_rs"), F.sum("rn").alias("_rn"))
     out = s.join(g, "seller_id", "inner")
     return out.select(
         "seller_id", "seller_zip", "seller_city", "seller_state",
-        "order_count", F.coalesce("unit_count", F.lit(0)).cast("bigint").alias("unit_count"),
+        "order_count", "unit_count",
         "customer_count", "city_count", "state_count",
         _money("total_sales").alias("total_sales"),
         ratio("total_sales", "order_count").alias("avg_ticket"),

@@ -86,3 +86,15 @@ def test_items_are_never_dealt_out_by_category(spark, t001, scale_shape):
             if re.search(r"Exchange hashpartitioning\(product_category_name#\d+, \d+\)", line):
                 below = "\n".join(x for x in lines[i + 1:i + 8])
                 assert "lineitem" not in below and "SortMergeJoin" not in below, key
+
+
+def test_seller_view_copies_no_rows_for_its_distinct_counts(spark, t001, scale_shape):
+    for key in ("seller_profile", "seller_profile_clean"):
+        assert "Expand" not in QUERIES[key](t001)._jdf.queryExecution().executedPlan().toString(), key
+
+
+def test_counting_a_view_leaves_out_what_only_its_columns_need(spark, t001, scale_shape):
+    """Payments and reviews make no row of the customer and the seller view."""
+    for key in ("customer_profile", "seller_profile"):
+        plan = QUERIES[key](t001).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" not in plan and plan.count("lineitem.parquet") == (key == "seller_profile"), key

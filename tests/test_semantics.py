@@ -267,3 +267,26 @@ def test_sales_yoy_over_a_gap(spark, handmade):
     rows = {(r.year, r.month): (r.sales, r.prev_year_sales) for r in sales_yoy(t).collect()}
     assert all(prev == (rows[y - 1, m][0] if (y - 1, m) in rows else None) for (y, m), (_, prev) in rows.items())
     assert "Join" not in sales_yoy({**t})._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_seller_counts_with_customers_of_several_places(spark, handmade):
+    """Every distinct count of the seller view against sets over its item rows,
+    where customers stand in several places, cities in several states and ids repeat."""
+    from marketlens.schema import SCHEMAS
+    t, _ = handmade
+    more = [("c1", "u1", "01001", "rio", "RJ"), ("c1", "u1", "01001", "rio", "SP"), ("c1", "u1", "01001", None, "RJ"),
+            ("c2", "u1", "01001", "rio", "RJ"), ("c3", "u3", "02002", "rio", "RJ"), ("c5", "u5", "09999", "rio", None)]
+    t = {**t, "customer": t["customer"].union(spark.createDataFrame(more, SCHEMAS["customer"])),
+         "orders": t["orders"].union(t["orders"].where("order_id in ('o1', 'o6')").withColumn(
+             "customer_id", F.lit("c2"))).union(t["orders"].where("order_id = 'o4'"))}
+    rows = W.items_per_seller(t).collect()
+    want = {}
+    for s in {r["seller_id"] for r in rows}:
+        of = [r for r in rows if r["seller_id"] == s]
+        known = [len({r[c] for r in of} - {None}) for c in ("order_item_id", "customer_id", "customer_city", "customer_state")]
+        orders = len({(r["order_id"], r["customer_id"], r["customer_city"], r["customer_state"]) for r in of})
+        want[s] = (orders, len(of), *known)
+    for clean in (False, True):
+        got = {r["seller_id"]: (r["order_count"], r["unit_count"], r["customer_count"], r["city_count"], r["state_count"])
+               for r in W.seller_profile(t, clean).collect()}
+        assert got == {s: (o, n if clean else p, *rest) for s, (o, n, p, *rest) in want.items()}
