@@ -143,11 +143,11 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     (seller, order) once and counts item rows as units.
 
     Plan: item rows are dealt out once by seller and customer city, narrow, and
-    lie there by state, customer and order.  A row that differs from the one
-    before begins a city, customer or order, so these are counted without a copy
-    of the rows for each.  What then goes to the seller is one row per city and
-    state, and the few states and positions as sets.  The seller id is the seller
-    table's key, so the place is attached after aggregating.
+    lie there by state and customer.  A row that differs from the one before
+    begins a city or customer, so these are counted without a copy of the rows
+    for each; a seller's (order, customer place) is marked before, where items
+    lie by order.  The few states and positions go on as sets.  The seller id is
+    the seller table's key, so the place is attached after aggregating.
     """
     pay = payments_per_order(t).select("order_id", "pay_sum")
     rev = reviews_per_order(t).select("order_id", "score_cnt",
@@ -163,34 +163,26 @@ def seller_profile(t: T, clean: bool = False) -> DataFrame:
     o = t["orders"].select("order_id", "customer_id")
     oc = o.join(c, o["customer_id"] == c["c_customer_id"], "left").drop("customer_id")
     # unknown sellers leave with the join of the place below
-    j = oi.join(oc, "order_id", "inner").join(pay, "order_id", "left").join(rev, "order_id", "left")
-
-    lies = Window.partitionBy("seller_id", "customer_city").orderBy("customer_state", "c_customer_id", "order_id")
-    before = F.lag(F.struct("customer_state", "c_customer_id", "order_id")).over(lies)
-    j = j.withColumn("before", before).select(
-        "*", F.col("before").isNull().alias("new_city"),
-        (F.col("before").isNull() | ~F.col("before.customer_state").eqNullSafe(F.col("customer_state"))
-         | ~F.col("before.c_customer_id").eqNullSafe(F.col("c_customer_id"))).alias("new_customer")).withColumn(
-        "new_order", F.col("new_customer") | ~F.col("before.order_id").eqNullSafe(F.col("order_id")))
+    each = Window.partitionBy("order_id", "seller_id", "c_customer_id", "customer_city", "customer_state")
+    j = (oi.join(oc, "order_id", "inner").withColumn("new_order", F.row_number().over(each.orderBy("order_id")) == 1)
+         .join(pay, "order_id", "left").join(rev, "order_id", "left"))
+    lies = Window.partitionBy("seller_id", "customer_city").orderBy("customer_state", "c_customer_id")
+    j = j.withColumn("before", F.lag(F.struct("customer_state", "c_customer_id")).over(lies))
+    new_city = F.col("before").isNull()
+    new_customer = new_city | ~F.col("before").eqNullSafe(F.struct("customer_state", "c_customer_id"))
 
     def once(col):
         return F.when(F.col("new_order"), F.col(col)) if clean else F.col(col)
 
-    per_place = j.groupBy("seller_id", "customer_city", "customer_state").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if("new_order").alias("orders"),
-        F.count_if(F.col("new_customer") & F.col("counts")).alias("customers"),
-        F.count_if(F.col("new_city") & F.col("customer_city").isNotNull()).alias("cities"),
-        F.sum(once("pay_sum")).alias("sales"), F.sum(once("score_cnt")).alias("reviews"),
-        # a score's average has one digit before the point
-        F.sum(once("avg_score").cast("decimal(12,9)")).alias("rs"), F.count(once("avg_score")).alias("rn"),
-        *([] if clean else [F.sort_array(F.collect_set("order_item_id")).alias("positions")]))
-    units = F.sum("items") if clean else F.size(F.array_distinct(F.flatten(F.collect_set("positions"))))
-    g = per_place.groupBy("seller_id").agg(
-        F.sum("orders").alias("order_count"), units.cast("bigint").alias("unit_count"),
-        F.sum("customers").alias("customer_count"), F.sum("cities").alias("city_count"),
+    g = j.groupBy("seller_id").agg(
+        F.count_if("new_order").alias("order_count"),
+        (F.count(F.lit(1)) if clean else F.size(F.collect_set("order_item_id"))).cast("bigint").alias("unit_count"),
+        F.count_if(new_customer & F.col("counts")).alias("customer_count"),
+        F.count_if(new_city & F.col("customer_city").isNotNull()).alias("city_count"),
         F.size(F.collect_set("customer_state")).cast("bigint").alias("state_count"),
-        F.sum("sales").alias("total_sales"), F.sum("reviews").cast("bigint").alias("review_total"),
-        F.sum("rs").alias("_rs"), F.sum("rn").alias("_rn"))
+        F.sum(once("pay_sum")).alias("total_sales"), F.sum(once("score_cnt")).cast("bigint").alias("review_total"),
+        # a score's average has one digit before the point
+        F.sum(once("avg_score").cast("decimal(12,9)")).alias("_rs"), F.count(once("avg_score")).alias("_rn"))
     out = s.join(g, "seller_id", "inner")
     return out.select(
         "seller_id", "seller_zip", "seller_city", "seller_state",
