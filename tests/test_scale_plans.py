@@ -98,3 +98,15 @@ def test_counting_a_view_leaves_out_what_only_its_columns_need(spark, t001, scal
     for key in ("customer_profile", "seller_profile"):
         plan = QUERIES[key](t001).groupBy().count()._jdf.queryExecution().executedPlan().toString()
         assert "events.parquet" not in plan and plan.count("lineitem.parquet") == (key == "seller_profile"), key
+
+
+def test_payments_are_summed_where_orders_lie_and_not_in_the_scan(spark, t001, scale_shape):
+    """A table of sums in a scan task would hold every order of its split or row group."""
+    for df in (t001["order_payments"], QUERIES["seller_profile_clean"](t001)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [i for i, line in enumerate(lines) if "lineitem.parquet" in line and "l_returnflag" in line]
+        assert scans
+        for i in scans:
+            above = lines[:i][::-1]
+            dealt = next(k for k, line in enumerate(above) if "Exchange hashpartitioning(" in line)
+            assert "Aggregate" not in "\n".join(above[:dealt])

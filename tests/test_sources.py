@@ -244,3 +244,15 @@ def test_a_hot_month_is_several_files(spark, t001):
     write_months(hot, path, files=8)
     files = [f for f in read_months(spark, path, hot).inputFiles() if "=1997-07" in f]
     assert len(files) >= 4
+
+
+def test_payments_of_hot_unknown_and_empty_line_items(spark):
+    from decimal import Decimal
+
+    from marketlens.sources.adapter import payments_from_lineitem
+    rows = [(1, "A", 0.25)] * 500 + [(1, "R", 2.0), (2, "R", 1.5), (2, "N", None), (3, "N", None), (4, "X", 9.0), (4, None, 9.0),
+            (None, "N", 1.0), (None, "N", 2.5)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_extendedprice double").repartition(3)
+    got = sorted((tuple(r) for r in payments_from_lineitem(items).collect()), key=str)
+    assert got == sorted([("1", 1, "credit_card", Decimal("125.00")), ("1", 2, "voucher", Decimal("2.00")),
+                          ("2", 1, "voucher", Decimal("1.50")), (None, 1, "boleto", Decimal("3.50"))], key=str)
