@@ -11,7 +11,7 @@ items that are names throughout.  A window that is mostly placeholders is compar
 slot values as they are.  An item is found where consistent alignments cover
 enough of its words.
 
-A filter of fixed size over the benchmark's windows lets few other document
+A filter of bounded size over the benchmark's windows lets few other document
 windows through to the exact join; nothing else is broadcast by hand.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, hash_filter, may_hold, mix, skew_join, slices, written
+from .shared import discard, filter_bits, hash_filter, may_hold, mix, skew_join, slices, written
 
 # Words read as numbers and as units.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen
@@ -249,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least_cov
     spark = docs.sparkSession
     items = written(item_windows(benchmark, size, least_words), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())           # `size` of them at most
-    bits = spark.sparkContext.broadcast(hash_filter(items.select("hash")))
+    bits = spark.sparkContext.broadcast(hash_filter(items.select("hash"), filter_bits(items.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()

@@ -155,6 +155,19 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.a * np.asarray(margin) + self.b, -30, 30)))
 
 
+def parts_of(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """``flat`` in parts of these sizes, views of it: as arrays of their own, the
+    driver would keep the memory of thousands of them after they are gone."""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [flat[start:end] for start, end in zip([0, *ends], ends)]
+
+
+def number_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as int64 numbers."""
+    lists = column.combine_chunks()
+    return parts_of(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()))
+
+
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, ones_per_zero: float = 1.0, cost: float = 1.0) -> QualityModel:
     """Fit on feature rows; a fifth of them only sets the curve.  With one
     label or none in the sample, every score is that label's share."""
@@ -166,7 +179,10 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, ones_per_zero: float = 1.0,
     fit = ~fifth if len(set(y[~fifth])) == 2 and fifth.sum() >= 20 else np.ones(len(y), bool)
     at = np.flatnonzero(fit)
     r = log_count_ratios([rows[i] for i in at], y[at])
-    values = [r[x] / np.sqrt(r[x] @ r[x]) for x in rows]
+    sizes = [len(x) for x in rows]
+    values = parts_of(np.empty(sum(sizes)), sizes)
+    for x, v in zip(rows, values):
+        v[:] = r[x] / np.sqrt(r[x] @ r[x])
     balance = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     w = dual_descent([rows[i] for i in at], [values[i] for i in at], y[at], cost * balance[at])
     margins = np.array([float(w[x] @ v) for x, v in zip(rows, values)])
@@ -186,7 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, parts:
 
     sample = labelled_sample(docs, labels, "quality", parts, held_out, max_rows)
     got = sample.mapInArrow(extract, "y int, ids array<int>").toArrow()
-    rows = [x.values.to_numpy().astype(np.int64) for c in got.column("ids").chunks for x in c]
+    rows = number_lists(got.column("ids"))
     y = got.column("y").to_numpy()
     order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh3_64_intdigest(rows[i].tobytes()), y[i]))
     zeros, ones = prior(labels, "quality", parts, held_out)

@@ -53,6 +53,40 @@ def test_hash_filter(spark):
     assert shared.may_hold(bits, np.arange(10**9, 10**9 + 10_000)).mean() < 0.01
 
 
+def test_filter_size_follows_the_keys_up_to_its_bound(spark, monkeypatch):
+    keys = [k * 7919 - 10**6 for k in range(20_000)]
+    small = shared.hash_filter(spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long"), shared.filter_bits(len(keys)))
+    assert small.nbytes == 1 << 18
+    assert shared.may_hold(small, np.array(keys)).all()
+    assert shared.may_hold(small, np.arange(10**9, 10**9 + 10_000)).mean() < 0.01
+    assert shared.filter_bits(0) == 20 and shared.filter_bits(2**21) == shared.filter_bits(10**12) == shared.FILTER_BITS
+    # what the driver gathers and sends out for a few rows is small too
+    made = []
+
+    def sized(*args):
+        made.append(shared.hash_filter(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "hash_filter", sized)
+    monkeypatch.setattr(decontaminate, "hash_filter", sized)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "another one"), (4, None)], "doc_id long, text string")
+    assert {r[0]: r[2] for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    items = spark.createDataFrame([(9, text)], "item_id long, text string")
+    assert [r[0] for r in decontaminate.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [3, 4]
+    assert len(made) == 4 and all(x.nbytes < 1 << 20 for x in made)
+
+
+def test_fit_rows_lie_in_one_array():
+    import pyarrow as pa
+    lists = [[0, 5, 7], [], [0], [1, 2]]
+    column = pa.chunked_array([pa.array(lists[:1], pa.list_(pa.int32())), pa.array([[3], *lists[1:]], pa.list_(pa.int32())).slice(1)])
+    got = quality.number_lists(column)
+    assert [x.tolist() for x in got] == lists and all(x.dtype == np.int64 for x in got)
+    assert len({id(x.base) for x in got}) == 1 and got[0].base is not None
+    assert quality.number_lists(pa.chunked_array([], pa.list_(pa.int32()))) == []
+
+
 # --------------------------------------------------------- 1 n-gram join
 
 def brute_components(rows, percent, n=5):
