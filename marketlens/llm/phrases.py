@@ -6,11 +6,13 @@ counted; ``ROLLUP`` over the columns then sums ever shorter prefixes, and as
 every occurrence of a phrase begins exactly one window, the sum over the windows
 that begin with it is its frequency.  No n-gram of another length is exploded.
 
-Before, one pass counts the hashes of all prefixes in tables of fixed size,
-one per length.  Where a prefix's count there is below the limit (it never is
-too low) the window is padded from there on: no phrase that counts can be
-lost, and the windows that remain are few.  With ever more words the tables let
-more through and the exact counts do the work.
+Before, one pass counts the hashes of all prefixes in tables whose places
+follow the words, one table per length.  Where a prefix's count there is below
+the limit (it never is too low) the window is padded from there on: no phrase
+that counts can be lost, and the distinct windows that remain are few.
+
+Neither pass sends a row per word: tasks send places and summed windows as
+packed blocks, dealt by hash, and what a task holds is bounded.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,11 @@ _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SPACES = b" \t"
 
 _PART = 4 << 20               # bytes of text looked at at once
-_TABLE_BITS = 22              # 4 MiB per window length
-_CHUNK = 1 << 17
+_HELD_PLACES = 8 << 20        # a task sends its places after so many
+_HELD_WINDOWS = 1 << 19       # and its windows after so many different ones
+_LEAST_BITS, _MOST_BITS = 17, 27    # places of a length's table: 16 KiB to 16 MiB as bits
+_SLICE_WORDS = 25             # log2 of the words whose places meet in one task, per length
+_BUCKET_WORDS = 23            # log2 of the words whose windows meet in one task
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,8 +84,7 @@ def _hash(strings: pa.Array) -> np.ndarray:
 
 
 def _prefixes(langs: pa.Array, lang: np.ndarray, words: pa.DictionaryArray, follows: np.ndarray, longest: int):
-    """Per length: where windows of that many words begin, and the place of
-    each in that length's table."""
+    """Per length: where windows of that many words begin, and the hash of each."""
     code = _hash(words.dictionary)[words.indices.to_numpy()]
     total = _hash(langs)[lang]
     at = np.arange(len(code))
@@ -89,99 +94,158 @@ def _prefixes(langs: pa.Array, lang: np.ndarray, words: pa.DictionaryArray, foll
             stays[stays] = follows[at[stays] + k]
             at, total = at[stays], total[stays]
         total = mix(total * _FACTOR + code[at + k])
-        yield at, (total >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        yield at, total
+
 
+def _words_in(texts: DataFrame) -> int:
+    """Words of the texts, roughly, by their bytes.  Sizes follow it, no result does."""
+    return (texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // 6
 
-def _table_of(rows: list[bytes], kind, least: int) -> np.ndarray:
-    """Sum of chunks, each dense or as places and counts, up to ``least``."""
-    total = np.zeros(_CHUNK, np.int64)
-    for b in rows:
-        if b[:1] == b"d":
-            total += np.frombuffer(b, kind, offset=1)
-        else:
-            n = (len(b) - 1) // (4 + np.dtype(kind).itemsize)
-            total[np.frombuffer(b, np.uint32, n, 1)] += np.frombuffer(b, kind, n, 1 + 4 * n)
-        np.minimum(total, least, out=total)
-    return total.astype(kind)
 
+def _table_bits(words: int, least: int) -> int:
+    """The power of two of the places of a length's table: a place gets a
+    quarter of ``least`` at most, up to the bound."""
+    return min(_MOST_BITS, max(_LEAST_BITS, (4 * words // least).bit_length()))
 
-def _as_row(i: int, chunk: np.ndarray) -> dict:
-    at = np.flatnonzero(chunk).astype(np.uint32)
-    dense = len(at) * (4 + chunk.itemsize) >= chunk.nbytes
-    return {"chunk": i, "counts": b"d" + chunk.tobytes() if dense else b"s" + at.tobytes() + chunk[at].tobytes()}
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of their width, compressed: small ones cost a byte or less."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
-_ROW = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
+def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, width * n, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
-def _enough(texts: DataFrame, longest: int, least: int, group: int = 64) -> np.ndarray:
+
+def _enough(texts: DataFrame, longest: int, least: int) -> np.ndarray:
     """Per length one bit per place: prefixes there may occur ``least`` times.
-    Counts stop at ``least``.  The tables of ``group`` tasks are summed, then
-    those of ``group`` such sums, then all."""
+    Counts stop at ``least``.  Slices of the tables are summed by a task each."""
     kind = np.uint8 if least < 256 else np.uint32
+    words = _words_in(texts)
+    table_bits = _table_bits(words, least)
+    n_slices = 1 << min(table_bits - 10, max(3, (words >> _SLICE_WORDS).bit_length()))
+    slice_bits = table_bits - n_slices.bit_length() + 1
+    sent = pa.schema([("slice", pa.int32()), ("size", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())])
+
+    def blocks(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for k, places in enumerate(held):
+            place, n = np.unique(np.concatenate(places or [np.zeros(0, np.uint32)]), return_counts=True)
+            n = np.minimum(n, least).astype(kind)
+            starts = np.arange(n_slices + 1, dtype=np.uint32) << np.uint32(slice_bits)
+            cuts = np.searchsorted(place, starts)
+            for i in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[i], cuts[i + 1])
+                row = {"slice": k * n_slices + int(i), "size": int(cuts[i + 1] - cuts[i]),
+                       "gaps": _packed(np.diff(place[own], prepend=starts[i])), "counts": _packed(n[own])}
+                yield pa.RecordBatch.from_pylist([row], schema=sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((longest, 1 << _TABLE_BITS), kind)
+        held, n = [[] for _ in range(longest)], 0
         for langs, lang, words, follows in _parts(batches):
-            for table, (_, place) in zip(tables, _prefixes(langs, lang, words, follows, longest)):
-                place, n = np.unique(place, return_counts=True)
-                table[place] = np.minimum(table[place].astype(np.int64) + n, least)
-        for i, chunk in enumerate(tables.reshape(-1, _CHUNK)):
-            if chunk.any():
-                yield pa.RecordBatch.from_pylist([_as_row(i, chunk)], schema=_ROW)
+            for places, (_, total) in zip(held, _prefixes(langs, lang, words, follows, longest)):
+                places.append((total >> np.uint64(64 - table_bits)).astype(np.uint32))
+                n += len(total)
+            if n >= _HELD_PLACES:
+                yield from blocks(held)
+                held, n = [[] for _ in range(longest)], 0
+        yield from blocks(held)
 
     def merge(key, rows):
-        total = _table_of(rows.column("counts").to_pylist(), kind, least)
-        return pa.Table.from_pylist([_as_row(key[0].as_py(), total)], schema=_ROW).append_column("by", pa.array([key[1].as_py()], pa.int32()))
-
-    def last(key, rows):
-        bits = np.packbits(_table_of(rows.column("counts").to_pylist(), kind, least) >= least, bitorder="little")
-        return pa.Table.from_pylist([{"chunk": key[0].as_py(), "counts": bits.tobytes()}], schema=_ROW)
-
-    schema = "chunk int, counts binary"
-    rows = texts.mapInArrow(run, schema).withColumn("by", F.spark_partition_id())
-    for _ in range(2):
-        rows = rows.withColumn("by", F.expr(f"cast(by div {group} as int)")).groupBy("chunk", "by").applyInArrow(
-            merge, schema + ", by int")
-    out = np.zeros((longest << _TABLE_BITS) // 8, np.uint8)
-    for r in rows.groupBy("chunk").applyInArrow(last, schema).collect():            # a bit per place: 512 KiB per length
-        out[r["chunk"] * (_CHUNK // 8):(r["chunk"] + 1) * (_CHUNK // 8)] = np.frombuffer(r["counts"], np.uint8)
+        total = np.zeros(1 << slice_bits, kind)
+        for size, gaps, counts in zip(*(rows.column(c).to_pylist() for c in ("size", "gaps", "counts"))):
+            at = np.cumsum(_unpacked(gaps, size, np.uint32), dtype=np.int64)
+            total[at] = np.minimum(total[at].astype(np.int64) + _unpacked(counts, size, kind), least)
+        bits = np.packbits(total >= least, bitorder="little")
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([_packed(bits)], pa.binary())})
+
+    rows = texts.mapInArrow(run, "slice int, size int, gaps binary, counts binary").groupBy("slice").applyInArrow(
+        merge, "slice int, bits binary").collect()                                  # 16 MiB per length at most, and packed
+    out = np.zeros((longest << table_bits) // 8, np.uint8)
+    step = (1 << slice_bits) // 8
+    for r in rows:
+        out[r["slice"] * step:(r["slice"] + 1) * step] = _unpacked(r["bits"], step, np.uint8)
     return out.reshape(longest, -1)
 
 
+def _summed(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return out.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
+
+
 def window_counts(texts: DataFrame, bits, longest: int) -> DataFrame:
-    """(lang, w1, .., n) of ``texts(lang, text)``: the longest windows, padded
+    """(lang, phrase, n) of ``texts(lang, text)``: the longest windows, padded
     with '' after the last word of the piece and from where ``bits`` says that no
-    longer prefix counts; rows of equal windows add up."""
+    longer prefix counts, joined by spaces; one row for each."""
+    n_buckets = max(32, _words_in(texts) >> _BUCKET_WORDS)
     columns = [f"w{k + 1}" for k in range(longest)]
+    sent = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("lengths", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def windows(langs: pa.Array, lang: np.ndarray, words: pa.DictionaryArray, follows: np.ndarray) -> pa.Table:
+        """(bucket, key, n) of a part, the key being the language, a line break and the phrase."""
+        ids = words.indices.to_numpy()
+        length = np.zeros(len(ids) + 1, np.int8)
+        bucket = np.zeros(len(ids), np.int32)
+        for k, (at, total) in enumerate(_prefixes(langs, lang, words, follows, longest)):
+            table = bits.value[k]
+            place = (total >> np.uint64(64 - (8 * len(table)).bit_length() + 1)).astype(np.int64)
+            may = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            # a phrase that counts begins and ends with one, a word shorter, that does
+            may &= (length[at] == k) & (length[at + (1 if k else 0)] >= k)
+            at = at[may]
+            length[at] = k + 1
+            bucket[at] = (total[may] % np.uint64(n_buckets)).astype(np.int32)
+        names, pad, at = pa.concat_arrays([words.dictionary, pa.array([""])]), len(words.dictionary), np.arange(len(ids))
+        cols = [np.where(length[:-1] > k, ids[np.minimum(at + k, len(ids) - 1)], pad) for k in range(longest)]
+        found = pa.table([pa.array(lang), pa.array(bucket), *map(pa.array, cols)], ["lang", "bucket", *columns]).group_by(
+            ["lang", "bucket", *columns], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        phrase = pc.binary_join_element_wise(*(names.take(found[c]) for c in columns), " ")
+        return pa.table({"bucket": found["bucket"], "key": pc.binary_join_element_wise(langs.take(found["lang"]), phrase, "\n"),
+                         "n": found["count_all"]})
+
+    def blocks(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = found.sort_by([("bucket", "ascending"), ("key", "ascending")]).combine_chunks()
+        bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+        keys = found["key"].chunk(0) if len(n) else pa.array([], pa.string())
+        ends, data = np.frombuffer(keys.buffers()[1], np.int32, len(n) + 1), keys.buffers()[2]
+        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            a, b = int(cuts[i]), int(cuts[i + 1])
+            row = {"bucket": int(i), "size": b - a, "lengths": _packed(np.diff(ends[a:b + 1])), "counts": _packed(n[a:b]),
+                   "keys": pa.compress(data.slice(int(ends[a]), int(ends[b] - ends[a])), codec="zstd", asbytes=True)}
+            yield pa.RecordBatch.from_pylist([row], schema=sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, lang, words, follows in _parts(batches):
-            ids = words.indices.to_numpy().astype(np.int64)
-            size = len(words.dictionary) + 1
-            length = np.zeros(len(ids) + 1, np.int8)
-            for k, (at, place) in enumerate(_prefixes(langs, lang, words, follows, longest)):
-                table = bits.value[k]
-                may = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                # a phrase that counts begins and ends with one, a word shorter, that does
-                at = at[may & (length[at] == k) & (length[at + (1 if k else 0)] >= k)]
-                length[at] = k + 1
-            length = length[:-1]
-            names = pa.concat_arrays([words.dictionary, pa.array([""])])
-            pad = size - 1
-            # words alone, and places where none counts, are summed here; Spark sums the longer windows
-            alone = np.flatnonzero(length < 2)
-            _, at, n = np.unique(lang[alone] * size + np.where(length[alone], ids[alone], pad), return_index=True, return_counts=True)
-            head = np.concatenate([alone[at], np.flatnonzero(length > 1)])
-            out = [langs.take(pa.array(lang[head]))]
-            for k in range(longest):
-                has = length[head] > k
-                out.append(names.take(pa.array(np.where(has, ids[np.where(has, head + k, head)], pad))))
-            counts = np.ones(len(head), np.int64)
-            counts[:len(n)] = n
-            yield pa.RecordBatch.from_arrays([*out, pa.array(counts)], ["lang", *columns, "n"])
-
-    return texts.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in columns)}, n long")
+        held, n = [], 0
+        for part in _parts(batches):
+            if len(part[1]):
+                held.append(windows(*part))
+                n += len(held[-1])
+            if n >= _HELD_WINDOWS:
+                yield from blocks(_summed(held, ["bucket", "key"]))
+                held, n = [], 0
+        if held:
+            yield from blocks(_summed(held, ["bucket", "key"]))
+
+    def merge(key, rows):
+        held, n, most = [], 0, _HELD_WINDOWS
+        for size, lengths, keys, counts in zip(*(rows.column(c).to_pylist() for c in ("size", "lengths", "keys", "counts"))):
+            ends = np.concatenate([[0], np.cumsum(_unpacked(lengths, size, np.int32))]).astype(np.int32)
+            data = pa.decompress(keys, int(ends[-1]), codec="zstd")
+            held.append(pa.table({"key": pa.StringArray.from_buffers(size, pa.py_buffer(ends), data),
+                                  "n": _unpacked(counts, size, np.int64)}))
+            n += size
+            if n >= most:
+                held = [_summed(held, ["key"])]
+                n, most = len(held[0]), max(most, 2 * len(held[0]))
+        found = _summed(held, ["key"])
+        both = pc.split_pattern(found["key"], "\n", max_splits=1, reverse=True)         # no word has a line break
+        return pa.table({"lang": pc.list_element(both, 0), "phrase": pc.list_element(both, 1), "n": found["n"]})
+
+    return texts.mapInArrow(run, "bucket int, size int, lengths binary, keys binary, counts binary").groupBy("bucket").applyInArrow(
+        merge, "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
@@ -191,7 +255,9 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
     columns = [f"w{k + 1}" for k in range(longest)]
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     bits = docs.sparkSession.sparkContext.broadcast(_enough(texts, longest, least))
-    counted = written(window_counts(texts, bits, longest).groupBy("lang", *columns).agg(F.sum("n").alias("n")), "windows")
+    words = F.split("phrase", " ")
+    counted = written(window_counts(texts, bits, longest).select(
+        "lang", *(words[k].alias(c) for k, c in enumerate(columns)), "n"), "windows")
     bits.destroy()
     up = counted.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
     size = F.greatest(F.lit(longest) - F.bit_count("out"), F.lit(0))       # the words that a prefix has

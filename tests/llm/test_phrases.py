@@ -74,6 +74,35 @@ def test_a_pass_that_prunes_nothing_gives_the_same(spark, corpus, monkeypatch):
     assert result(spark, corpus, 3) == want
 
 
+def test_equal_windows_leave_the_pass_summed(spark):
+    texts = spark.createDataFrame([("en", "p q r. " * 200)] * 50 + [("de", "p q")] * 5, "lang string, text string")
+    for some in (phrases._enough(texts, 3, 6), phrases.np.full((3, 1 << 14), 255, "uint8")):
+        bits = spark.sparkContext.broadcast(some)
+        rows = [tuple(r.asDict().values()) for r in phrases.window_counts(texts, bits, 3).collect()]
+        assert len(rows) == len({r[:-1] for r in rows}) <= 5             # a row each, not one per word
+        assert sum(r[-1] for r in rows) == 3 * 10_000 + 10
+
+
+def test_tables_follow_the_words(spark):
+    most = [8 * 10**9, 16 * 10**8, 10**8]                # words, and words a place at the limit of 100
+    assert all(n / 2**phrases._table_bits(n, 100) < 100 * 2 / 3 for n in most)
+    assert phrases._table_bits(0, 100) == phrases._LEAST_BITS and phrases._table_bits(10**15, 2) == phrases._MOST_BITS
+    texts = spark.range(400).selectExpr("'en' lang", "concat_ws(' ', transform(sequence(1, 500), i -> hex(500 * id + i))) text")
+    some = phrases.np.unpackbits(phrases._enough(texts, 2, 4))
+    assert some.mean() < 0.02                            # 200,000 words, each there once
+
+
+def test_blocks_of_any_size_give_the_same(spark, corpus, monkeypatch):
+    corpus = corpus + [("new york city hall", "a\nb"), ("b new york city hall", "a")] * 9
+    want = result(spark, corpus, 3)
+    assert want == brute(corpus, 3, 5, 2000, 100)
+    monkeypatch.setattr(phrases, "_HELD_PLACES", 50)
+    monkeypatch.setattr(phrases, "_HELD_WINDOWS", 20)
+    monkeypatch.setattr(phrases, "_PART", 100)
+    monkeypatch.setattr(phrases, "_words_in", lambda texts: 1 << 29)
+    assert result(spark, corpus, 3) == want
+
+
 def test_long_texts_empty_tables_and_other_columns(spark):
     long = "a b c d e f g, " * 30_000
     assert result(spark, [(long, "en")], 100) == brute([(long, "en")], 100, 5, 2000, 100) != set()
